@@ -11,7 +11,8 @@
    by which correlated votes count less.
 3. Classifier.  A bounded sample of documents (``sample``) gets posterior labels
    from the label model; a linear classifier over words and beginnings of words
-   is trained on them, so that words outside the lexicon count too.
+   (the ``FEATURES`` that differ most between them) is trained on them, so that
+   words outside the lexicon count too.
 4. Every whole text is scored with the classifier's weights.
 
 Labels come only from rows that ``may_learn`` lets through.  Label, language,
@@ -25,7 +26,6 @@ table gives an empty result.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -34,10 +34,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_columns, texts
+from .common import map_columns, materialise, texts
 
-#: Labelled rows from which voters are mined, and rows on which the classifier is trained, at most.
+#: Labelled rows from which voters are mined, and further rows on which the classifier is trained, at most.
 LABELLED, SAMPLE = 6000, 6000
+#: Terms that the classifier weighs at most.
+FEATURES = 6000
 #: Mined voters at most.
 VOTERS = 56
 #: Lengths of the beginnings of words.
@@ -77,26 +79,21 @@ class Voters:
         return out
 
 
-def mine(labelled: list[tuple[set[str], int]], most: int = VOTERS) -> Voters:
-    """Terms that are far more frequent on toxic rows, by their G statistic; seeds besides."""
+def mine(counted: DataFrame, n_bad: int, n_good: int, most: int = VOTERS) -> Voters:
+    """Terms that are far more frequent on toxic rows, by their G statistic; seeds besides.
+
+    ``counted``: (term, bad, good), the rows of each class that have the term.
+    """
     by_term: dict[str, int] = {}
     for k, words in enumerate(SEEDS.values()):
         by_term.update({f"w:{w}": k for w in words})
     n = len(SEEDS)
-    bad, good = Counter(), Counter()
-    n_bad = sum(y for _, y in labelled)
-    n_good = len(labelled) - n_bad
-    for found, y in labelled:
-        (bad if y else good).update(found)
-    scored = []
-    for term, b in bad.items():
-        if b >= max(4, 0.002 * n_bad) and term not in by_term:
-            g = good[term]
-            share, base = (b + 0.5) / (b + g + 1), (n_bad + 0.5) / (n_bad + n_good + 1)
-            if share > 0.5 and b > 4 * n_bad / max(n_good, 1) * g:
-                scored.append((b * np.log(share / base) + g * np.log((1 - share) / (1 - base) + 1e-9), term))
-    for _, term in sorted(scored, key=lambda x: (-x[0], x[1]))[:most]:
-        by_term[term] = n
+    base = (n_bad + 0.5) / (n_bad + n_good + 1)
+    share = (F.col("bad") + 0.5) / (F.col("bad") + F.col("good") + 1)
+    gain = F.col("bad") * F.log(share / base) + F.col("good") * F.log((1 - share) / (1 - base) + 1e-9)
+    fit = (F.col("bad") >= max(4, 0.002 * n_bad)) & (share > 0.5) & (F.col("bad") > 4 * n_bad / max(n_good, 1) * F.col("good")) & ~F.col("term").isin(list(by_term))
+    for r in counted.filter(fit).withColumn("gain", gain).orderBy(F.desc("gain"), "term").limit(most).collect():
+        by_term[r["term"]] = n
         n += 1
     return Voters(by_term, n)
 
@@ -176,18 +173,15 @@ class Classifier:
         return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
 
-def train(rows: list[set[str]], labels: np.ndarray, start: dict[str, float], rounds: int = 60, rate: float = 0.5, ridge: float = 2e-4) -> Classifier:
-    """Logistic regression on soft labels by Adagrad over all rows; terms in under three rows are left out.
+def train(rows: list[np.ndarray], labels: np.ndarray, names: list[str], start: dict[str, float], rounds: int = 80, rate: float = 0.5, ridge: float = 2e-4) -> Classifier:
+    """Logistic regression on soft labels by Adagrad over all rows.
 
-    Voters' terms are kept in any case and start from ``start``.
+    ``rows``: the places in ``names`` of the terms that each row has; weights
+    begin with ``start``.
     """
-    df = Counter(t for found in rows for t in found)
-    names = sorted({t for t, c in df.items() if c >= 3} | start.keys())
-    place = {t: i for i, t in enumerate(names)}
     w = np.array([start.get(t, 0.0) for t in names])
-    cols = [np.array([place[t] for t in found if t in place], np.int64) for found in rows]
-    flat = np.concatenate(cols) if cols else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(cols)), [len(c) for c in cols])
+    flat = np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(rows)), [len(c) for c in rows])
     bias, g2, b2 = -2.0, np.full(len(names), 1e-2), 1e-2
     for _ in range(rounds if len(rows) else 0):
         z = bias + np.bincount(owner, w[flat], len(rows))
@@ -208,11 +202,36 @@ class Model:
     classifier: Classifier
 
 
-def _sample(rows: DataFrame, keep: list[str], text_col: str, most: int) -> list[tuple]:
-    """(keep..., terms) of ``most`` rows at most, by a hash of their text, so that reruns agree."""
-    some = rows.orderBy(F.xxhash64(text_col), *keep).limit(most)
-    made = map_columns(some, keep, [text_col], T.StructType([T.StructField("terms", T.ArrayType(T.StringType()))]), lambda: lambda c: [[sorted(terms(x)) for x in texts(c)]])
-    return [(*(r[c] for c in keep), set(r["terms"])) for r in made.collect()]
+def _sample(rows: DataFrame, text_col: str, most: int) -> DataFrame:
+    """About ``most`` rows at most (copies of one text come together), by a hash of their text, so that reruns agree."""
+    hashed = rows.withColumn("_h", F.xxhash64(text_col))
+    last = hashed.select("_h").orderBy("_h").limit(most).agg(F.max("_h")).first()[0]
+    distinct = hashed.filter(F.col("_h") <= F.lit(last).cast("long")).dropDuplicates(["_h"])
+    return distinct.drop("_h")
+
+
+def _with_terms(rows: DataFrame, keep: list[str], text_col: str) -> DataFrame:
+    add = T.StructType([T.StructField("terms", T.ArrayType(T.StringType()))])
+    return map_columns(rows, keep, [text_col], add, lambda: lambda c: [[sorted(terms(x)) for x in texts(c)]])
+
+
+def _posteriors(pool: DataFrame, voters: Voters, model: LabelModel) -> DataFrame:
+    """(q, terms): the pool with posterior labels."""
+
+    def make():
+        def step(column: pa.Array) -> list:
+            votes = np.array([voters.vote(set(x)) for x in column.to_pylist()], float).reshape(-1, voters.n + 1)
+            return [model.posterior(votes)]
+
+        return step
+
+    return map_columns(pool, ["terms"], ["terms"], T.StructType([T.StructField("q", T.DoubleType())]), make)
+
+
+def _votes(rows: DataFrame, voters: Voters) -> DataFrame:
+    """(_y, v): the votes on rows of (_y, terms)."""
+    add = T.StructType([T.StructField("v", T.ArrayType(T.IntegerType()))])
+    return map_columns(rows, ["_y"], ["terms"], add, lambda: lambda c: [[voters.vote(set(x)).tolist() for x in c.to_pylist()]])
 
 
 def moments(docs: DataFrame, voters: Voters, text_col: str) -> tuple[int, np.ndarray]:
@@ -239,28 +258,33 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "do
     """Voters, label model and classifier.  ``may_learn``: a condition on the id; other rows' labels are never read."""
     known = labels.filter(may_learn).filter(F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("_y"))
     base = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias("_text"))
-    marked = base.join(known, id_col).select("_y", "_text")
-    half = labelled // 2
-    rows = [r for y in (0, 1) for r in _sample(marked.filter(F.col("_y") == y), ["_y"], "_text", half)]
-    voters = mine([(found, y) for y, found in rows])
+    marked = base.join(known, id_col).select((F.col("_y") > 0).cast("int").alias("_y"), "_text")
+    halves = [_sample(marked.filter(F.col("_y") == y), "_text", labelled // 2) for y in (0, 1)]
+    learned = materialise(_with_terms(halves[0].unionByName(halves[1]), ["_y"], "_text"), "labelled")
+    n_of = {r["_y"]: r["count"] for r in learned.groupBy("_y").count().collect()}
+    counted = learned.select("_y", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("_y").alias("bad"), F.sum(1 - F.col("_y")).alias("good"))
+    voters = mine(counted, n_of.get(1, 0), n_of.get(0, 0))
     m = voters.n + 1
-    votes = np.array([voters.vote(found) for _, found in rows], float).reshape(-1, m)
-    y = np.array([r[0] for r in rows], float)
-    counted = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
-    prior = float(np.clip((counted.get(1, 0) + 1) / (sum(counted.values()) + 10), 0.005, 0.5))
-    rate = lambda v: (v.sum(0) + 0.1) / (len(v) + 1.0)
-    a = rate(votes[y == 1]) if (y == 1).any() else np.r_[np.full(m - 1, 0.2), 0.2]
-    b = rate(votes[y == 0]) if (y == 0).any() else np.r_[np.full(m - 1, 0.01), 0.97]
+    rates = {r["_y"]: np.array(r["v"], float) for r in _votes(learned, voters).groupBy("_y").agg(F.array(*(F.sum(F.col("v")[k]) for k in range(m))).alias("v")).collect()}
+    all_known = {r["bad"]: r["count"] for r in known.groupBy((F.col("_y") > 0).alias("bad")).count().collect()}
+    prior = float(np.clip((all_known.get(True, 0) + 1) / (sum(all_known.values()) + 10), 0.005, 0.5))
+    a = (rates[1] + 0.1) / (n_of[1] + 1.0) if 1 in rates else np.r_[np.full(m - 1, 0.2), 0.2]
+    b = (rates[0] + 0.1) / (n_of[0] + 1.0) if 0 in rates else np.r_[np.full(m - 1, 0.01), 0.97]
     n, second = moments(docs, voters, text_col)
     model = fit_labels(n, second, (prior, np.clip(a, 1e-4, 0.999), np.clip(b, 1e-4, 0.999)), steps=30)
-    chosen = base.filter(may_learn).select("_text")
-    suspects = [r[-1] for r in rows]  # the labelled sample brings enough toxic rows
-    clean = [r[-1] for r in _sample(chosen, [], "_text", sample)]
-    pool = suspects + clean
-    q = model.posterior(np.array([voters.vote(x) for x in pool], float).reshape(-1, m)) if pool else np.zeros(0)
+    # the labelled sample brings enough toxic rows, the other one the corpus
+    more = _with_terms(_sample(base.filter(may_learn).select("_text"), "_text", sample), [], "_text")
+    pool = materialise(_posteriors(learned.select("terms").unionByName(more), voters, model), "pool")
+    mean = pool.agg(F.avg("q")).first()[0] or 0.0
+    tilt = F.abs(F.col("q") - F.col("n") * mean) / F.sqrt("n")
+    weighed = pool.select("q", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("q").alias("q"), F.count(F.lit(1)).alias("n")).filter("n >= 3")
+    names = sorted({r["term"] for r in weighed.orderBy(F.desc(tilt), "term").limit(FEATURES).select("term").collect()} | voters.terms.keys())
+    place = {t: i for i, t in enumerate(names)}
+    index = map_columns(pool, ["q"], ["terms"], T.StructType([T.StructField("at", T.ArrayType(T.IntegerType()))]), lambda: lambda c: [[[place[t] for t in x if t in place] for x in c.to_pylist()]])
+    rows = [(r["q"], np.array(r["at"], np.int32)) for r in index.collect()]
     strength = np.log(model.a / model.b) * model.weight
     start = {t: float(np.clip(strength[k], -1, 5)) for t, k in voters.terms.items()}
-    return Model(voters, model, train(pool, q, start))
+    return Model(voters, model, train([x for _, x in rows], np.array([q for q, _ in rows]), names, start))
 
 
 def score(docs: DataFrame, classifier: Classifier, keep: list[str], text_col: str = "text") -> DataFrame:

@@ -186,6 +186,7 @@ def test_label_model_recovers_rates():
 def test_toxicity_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(4, 1, 1)], "doc_id long, quality int, toxic int")
     model = toxicity.fit(odd, labels, toxicity.learnable())
+    assert model.voters.n >= 3
     assert toxicity.score(odd, model.classifier, ["doc_id"]).count() == odd.count()
     model = toxicity.fit(empty, labels.limit(0), toxicity.learnable())
     assert toxicity.score(empty, model.classifier, ["doc_id"]).count() == 0
