@@ -36,46 +36,113 @@ from .common import map_columns, small_batches, texts
 
 WINDOW = 16
 SHORTEST, LONGEST, MEAN_BITS = 128, 4096, 9
-#: Entries of a task's table of distinct words (about 80 MB).
-TABLE_SIZE = 300_000
+#: Entries of a process's table of distinct words (about 160 MB).
+TABLE_SIZE = 800_000
+
+# Fixed value: how the vocabulary splits texts before merging.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _OPEN_END = re.compile(r" (?!\S)")
 _CUT = re.compile(r" (?=\S)")
 
 
+def _byte_chars() -> dict[int, str]:
+    """The characters by which byte-level vocabularies write bytes: printable ones stand for themselves, others follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class WordEncoder:
     """Ids by the tokenizers library, each distinct word once.
 
     The vocabulary's pattern never lets a token reach over a blank that a
     non-blank follows (the blank belongs to what follows), so that texts may be
-    cut there.
+    cut there.  A word new to the table is split by the pattern, and what is new
+    of its parts goes to the library's model; the bytes that each id stands for
+    tell where a part's ids end.  Words with letters beyond Latin go through the
+    library's own splitting, whose Unicode tables may be others.
     """
 
     def __init__(self, path: str, size: int = TABLE_SIZE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        self.dtype = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
-        self.size, self.first, self.later = size, {}, {}
-
-    def _add(self, table: dict[str, bytes], words: list[str], before: str) -> None:
-        for at in range(0, len(words), 5000):
-            some = words[at : at + 5000]
-            for word, made in zip(some, self.library.encode_batch_fast([before + w for w in some], add_special_tokens=False), strict=True):
-                table[word] = np.array(made.ids, self.dtype).tobytes()
+        self.library, self.model = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for t in (self.library, self.model):
+            t.encode_special_tokens = True
+            t.model._resize_cache(0)  # the table here takes its place
+        self.model.pre_tokenizer = None
+        vocabulary = self.library.get_vocab()
+        self.dtype = "<u2" if len(vocabulary) <= 1 << 16 else "<u4"
+        self.width = np.dtype(self.dtype).itemsize
+        self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, k in vocabulary.items():
+            self.lengths[k] = len(token)  # a character of a token is one byte
+        self.split = regex.compile(PATTERN).findall
+        self.chars = _byte_chars()
+        self.size, self.first, self.later, self.parts = size, {}, {}, {}
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, self.dtype).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _add_parts(self, parts: list[str]) -> None:
+        """New parts, a thousand at a time."""
+        coded = [p.encode() for p in parts]
+        written = [x.decode("latin-1").translate(self.chars) for x in coded]
+        runs = [written[at : at + 1000] for at in range(0, len(parts), 1000)]
+        for k, made in enumerate(self.model.encode_batch_fast(runs, is_pretokenized=True, add_special_tokens=False)):
+            run = slice(k * 1000, k * 1000 + 1000)
+            ids = np.array(made.ids, self.dtype)
+            stops = ((np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(x) for x in coded[run]])) + 1) * self.width).tolist()
+            data, begin = ids.tobytes(), 0
+            for part, stop in zip(parts[run], stops, strict=True):
+                self.parts[part] = data[begin:stop]
+                begin = stop
+
+    def _add(self, words: list[str]) -> None:
+        """New words, each after a blank."""
+        split, known = [], self.parts
+        other = [w for w in words if max(w) >= "\u0250"]
+        self.later.update(zip(other, self._ids([" " + w for w in other]), strict=True))
+        for w in words:
+            if w not in self.later:
+                split.append((w, [" " + w] if w.isalpha() else self.split(" " + w)))
+        self._add_parts(list({p for _, parts in split for p in parts if p not in known}))
+        for w, parts in split:
+            self.later[w] = known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Each text's ids as bytes of ``dtype``."""
-        if len(self.first) + len(self.later) > self.size:
-            self.first, self.later = {}, {}
-        first, later = self.first, self.later
+        if len(self.first) + len(self.later) + len(self.parts) > self.size:
+            self.first, self.later, self.parts = {}, {}, {}
         cut = [_CUT.split(x) if _OPEN_END.search(x) else x.split(" ") for x in batch]
-        self._add(first, list({w[0] for w in cut if w[0] not in first}), "")
-        self._add(later, list({x for w in cut for x in w[1:] if x not in later}), " ")
-        return [first[w[0]] + b"".join([later[x] for x in w[1:]]) for w in cut]
+        heads = [w[0] for w in cut]
+        new = list({h for h in heads if h not in self.first})
+        self.first.update(zip(new, self._ids(new), strict=True))
+        for words in cut:
+            del words[0]
+        later = self.later
+        found = [list(map(later.get, words)) for words in cut]
+        lacking = [(x, [(i, words[i]) for i, v in enumerate(x) if v is None]) for words, x in zip(cut, found, strict=True) if None in x]
+        if lacking:
+            self._add(list({w for _, gaps in lacking for _, w in gaps}))
+            for x, gaps in lacking:
+                for i, w in gaps:
+                    x[i] = later[w]
+        return [self.first[h] + b"".join(x) for h, x in zip(heads, found, strict=True)]
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """This process's encoder of a vocabulary: tasks that share a worker share the table."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 def cuts(ids: np.ndarray, ends: list[int]) -> list[list[int]]:
@@ -149,17 +216,17 @@ def _pieces(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col:
     source = docs.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string"))
 
     def run(batches):
-        encoder = WordEncoder(tokenizer)
-        end = np.array([end_id], encoder.dtype).tobytes()
+        words = encoder(tokenizer)
+        end = np.array([end_id], words.dtype).tobytes()
         width = len(end)
         seen: set[bytes] = set()
         for batch in batches:
-            coded = [x + end for x in encoder.encode(texts(batch.column(1)))]
+            coded = [x + end for x in words.encode(texts(batch.column(1)))]
             data = b"".join(coded)
             ends = list(accumulate(len(x) // width for x in coded))
             rows: list[tuple] = []
             begin = 0
-            for doc, chunk_ends, n in zip(batch.column(0).to_pylist(), cuts(np.frombuffer(data, encoder.dtype), ends), coded, strict=True):
+            for doc, chunk_ends, n in zip(batch.column(0).to_pylist(), cuts(np.frombuffer(data, words.dtype), ends), coded, strict=True):
                 keys = []
                 for stop in chunk_ends:
                     payload = data[begin * width : stop * width]
@@ -274,15 +341,23 @@ def recipes(spark: SparkSession, path: str) -> DataFrame:
 class CrcJoiner:
     """The CRC-32 of two byte strings one behind the other, from theirs and the second's length.
 
-    Appending n zero bytes is linear over bits; its matrix is found once for
-    each n by squaring and kept.
+    Appending zero bytes is linear over bits.  For each power of two there is a
+    table of what it makes of each of a sum's four bytes; a length takes one step
+    for each of its bits.
     """
 
-    def __init__(self):
-        self.kept: dict[int, list[int]] = {}
+    def __init__(self, powers: int = 48):
+        matrix = [0xEDB88320, *(1 << k for k in range(31))]  # one zero bit
+        square = lambda m: [self._times(m, x) for x in m]
+        for _ in range(3):
+            matrix = square(matrix)
+        self.tables = []
+        for _ in range(powers):
+            self.tables.append([[self._times(matrix, x << 8 * k) for x in range(256)] for k in range(4)])
+            matrix = square(matrix)
 
     @staticmethod
-    def _apply(matrix: list[int], vector: int) -> int:
+    def _times(matrix: list[int], vector: int) -> int:
         out, k = 0, 0
         while vector:
             if vector & 1:
@@ -291,23 +366,15 @@ class CrcJoiner:
             k += 1
         return out
 
-    def zeros(self, n: int) -> list[int]:
-        if n not in self.kept:
-            square = [0xEDB88320, *(1 << k for k in range(31))]  # one zero bit
-            for _ in range(3):
-                square = [self._apply(square, x) for x in square]
-            made = [1 << k for k in range(32)]
-            rest = n
-            while rest:
-                if rest & 1:
-                    made = [self._apply(square, x) for x in made]
-                square = [self._apply(square, x) for x in square]
-                rest >>= 1
-            self.kept[n] = made
-        return self.kept[n]
-
     def join(self, first: int, second: int, length: int) -> int:
-        return self._apply(self.zeros(length), first) ^ second
+        k = 0
+        while length:
+            if length & 1:
+                a, b, c, d = self.tables[k]
+                first = a[first & 255] ^ b[first >> 8 & 255] ^ c[first >> 16 & 255] ^ d[first >> 24]
+            length >>= 1
+            k += 1
+        return first ^ second
 
 
 def read_digests(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
