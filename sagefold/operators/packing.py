@@ -16,12 +16,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..workspace import ship
+
 
 def greedy_bins(df: DataFrame, groups: Sequence[str], order: Sequence[str | Column], limits: dict[str, float], out: str = "bin") -> DataFrame:
     """``df`` with ``out``, the number from 1 of each row's bin in its group.
 
     ``limits``: the columns whose sums are limited, with their limits.
     """
+    ship(df.sparkSession)
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.LongType())])
 
     def run(batches):

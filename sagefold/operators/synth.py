@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from ..functions import text as X
 from ..schemas import EXTRACT_OUT, SCORE_OUT
 from ..vocabulary import CATEGORIES, KINDS, OUTCOMES, TIERS
+from ..workspace import ship
 from .evidence import apply_floors, clamp
 
 GROUP_TOKENS, FOLD_LEAST, SCORE_GROUP = 120_000, 20_000, 150
@@ -129,6 +130,7 @@ def _per_row(df: DataFrame, keep: list[str], take: list[str], schema: str, work:
     """A Python function over rows, each of which is a request of bounded size."""
     from pyspark.sql.pandas.types import to_arrow_type
 
+    ship(df.sparkSession)
     add = T.StructType.fromDDL(schema)
     types = [to_arrow_type(f.dataType) for f in add.fields]
     source = df.select(*dict.fromkeys([*keep, *take]))

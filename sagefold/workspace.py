@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -17,6 +20,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Give executors this package, once a context: their Python workers need not have it installed.
+
+    Spark serves the archive from the driver to every executor, also to those
+    that come later.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_sagefold_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as archive:
+        for path in sorted(package.rglob("*.py")):
+            archive.write(path, path.relative_to(package.parent))
+    target = Path(tempfile.mkdtemp(prefix="sagefold-")) / "sagefold.zip"
+    target.write_bytes(data.getvalue())
+    context.addPyFile(str(target))
+    context._sagefold_shipped = True
+
+
 def local_session(cores: int | str = "*", memory: str = "8g", partitions: int | None = None) -> SparkSession:
     """A session on this machine, as tests, the command line and the benchmark use it."""
     return (
