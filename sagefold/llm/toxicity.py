@@ -4,11 +4,10 @@
    this beginning is there) are mined from a bounded sample of labelled rows;
    seed voters stand for groups of common English insults.  One more voter takes
    the opposite side: no suspect word at all.
-2. Label model.  One pass over *all* documents counts each voter's hits and each
-   pair's common hits (voters squared, whatever the input).  From these moments
-   the model gets each voter's rate on toxic and on clean documents, that is its
-   accuracy; what the fit leaves over between two voters is their correlation,
-   by which correlated votes count less.
+2. Label model.  One pass over *all* documents counts the combinations of votes.
+   Expectation-maximisation over them gives each voter's rate on toxic and on
+   clean documents, that is its accuracy; what the fit leaves over between two
+   voters is their correlation, by which correlated votes count less.
 3. Classifier.  A bounded sample of documents (``sample``) gets posterior labels
    from the label model; a linear classifier over words and beginnings of words
    (the ``FEATURES`` that differ most between them) is trained on them, so that
@@ -26,6 +25,7 @@ table gives an empty result.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -40,8 +40,8 @@ from .common import map_columns, materialise, texts
 LABELLED, SAMPLE = 6000, 6000
 #: Terms that the classifier weighs at most.
 FEATURES = 6000
-#: Mined voters at most.
-VOTERS = 56
+#: Mined voters at most (votes are the bits of a long), and how much more frequent their terms are on toxic rows at least.
+VOTERS, LIFT = 56, 5.0
 #: Lengths of the beginnings of words.
 PREFIXES = (4, 5, 6)
 
@@ -56,11 +56,16 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def terms(text: str) -> set[str]:
-    """The text's distinct words in lower case (``w:``) and beginnings of its longer words (``p:``)."""
+    """The text's distinct words in lower case (``w:``), and beginnings that one, two or three of its longer words have (``p:``, ``2:``, ``3:``)."""
     words = set(_WORD.findall(text.lower()))
     found = {f"w:{w}" for w in words}
     for n in PREFIXES:
-        found.update(f"p:{w[:n]}" for w in words if len(w) > n)
+        for start, many in Counter([w[:n] for w in words if len(w) > n]).items():
+            found.add(f"p:{start}")
+            if many > 1:
+                found.add(f"2:{start}")
+            if many > 2:
+                found.add(f"3:{start}")
     return found
 
 
@@ -80,9 +85,13 @@ class Voters:
 
 
 def mine(counted: DataFrame, n_bad: int, n_good: int, most: int = VOTERS) -> Voters:
-    """Terms that are far more frequent on toxic rows, by their G statistic; seeds besides.
+    """Terms that are surely more frequent on toxic rows; seeds besides.
 
     ``counted``: (term, bad, good), the rows of each class that have the term.
+    Of terms with the same first four letters the one with the largest G statistic
+    votes: words and their beginnings would only repeat each other.  A term counts
+    if its rate on toxic rows, less two deviations, is ``LIFT`` times that on clean
+    ones.
     """
     by_term: dict[str, int] = {}
     for k, words in enumerate(SEEDS.values()):
@@ -91,8 +100,10 @@ def mine(counted: DataFrame, n_bad: int, n_good: int, most: int = VOTERS) -> Vot
     base = (n_bad + 0.5) / (n_bad + n_good + 1)
     share = (F.col("bad") + 0.5) / (F.col("bad") + F.col("good") + 1)
     gain = F.col("bad") * F.log(share / base) + F.col("good") * F.log((1 - share) / (1 - base) + 1e-9)
-    fit = (F.col("bad") >= max(4, 0.002 * n_bad)) & (share > 0.5) & (F.col("bad") > 4 * n_bad / max(n_good, 1) * F.col("good")) & ~F.col("term").isin(list(by_term))
-    for r in counted.filter(fit).withColumn("gain", gain).orderBy(F.desc("gain"), "term").limit(most).collect():
+    low = (F.col("bad") - 2 * F.sqrt("bad")) / max(n_bad, 1)
+    fit = (F.col("bad") >= 5) & (low >= LIFT * (F.col("good") + 1) / max(n_good, 1)) & ~F.col("term").isin(list(by_term))
+    best = counted.filter(fit).withColumn("gain", gain).groupBy(F.substring("term", 3, 4).alias("stem")).agg(F.max(F.struct("gain", "term")).alias("x"))
+    for r in best.select("x.gain", "x.term").orderBy(F.desc("gain"), "term").limit(most).collect():
         by_term[r["term"]] = n
         n += 1
     return Voters(by_term, n)
@@ -121,44 +132,50 @@ class LabelModel:
         return share
 
 
-def fit_labels(n: int, moments: np.ndarray, start: tuple[float, np.ndarray, np.ndarray], steps: int = 300) -> LabelModel:
-    """The label model from second moments over all documents.
+def fit_labels(patterns: DataFrame, m: int, known: tuple[float, np.ndarray, np.ndarray], rounds: int = 12) -> LabelModel:
+    """The label model over all documents' votes.
 
-    moments[i, j]: documents where both i and j vote.  Given the class, votes
-    count as independent: E[v_i v_j] = p a_i a_j + (1 - p) b_i b_j, E[v_i] = p a_i + (1 - p) b_i.
-    Coordinate-wise least squares from ``start`` fits p, a and b; pairs far off
-    the fit are then taken as correlated and left out of a second fit.
+    ``patterns``: (mask, n), the distinct combinations of votes with their counts,
+    however many there are; each round of expectation-maximisation is one
+    aggregation of them.  ``known``: prior and rates on the labelled rows, which
+    count as much as the unlabelled ones of their class: they keep the classes'
+    meaning.  What two voters share beyond the fit is their correlation.
     """
-    p, a, b = start
-    m = len(a)
+    p, a0, b0 = known
+    a, b = a0.copy(), b0.copy()
+    bit = lambda i: F.shiftright("mask", i).bitwiseAND(1)
+    total = patterns.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), *(F.sum(F.col("n") * bit(i)).alias(f"v{i}") for i in range(m))).first()
+    n, hits = float(total["n"]), np.array([float(total[f"v{i}"] or 0) for i in range(m)])
     if not n:
         return LabelModel(p, a, b, np.ones(m), np.zeros((m, m)))
-    second = moments / n
-    first = np.diag(second)
-    use = 1.0 - np.eye(m)
     low, high = 1e-5, 1 - 1e-5
-    correlation = np.zeros((m, m))
-    for turn in range(2):
-        for _ in range(steps):
-            for i in range(m):
-                w = use[i]
-                # unknown (a_i, b_i): the pairs' equations, each scaled by its size, and the mean's, with more weight
-                scale = 1 / (second[i] + first[i] * first + 1e-9)
-                rows = np.stack([p * a, (1 - p) * b], 1) * (w * scale)[:, None]
-                want = second[i] * w * scale
-                strong = 10.0 / (first[i] + 1e-9)
-                rows = np.vstack([rows, [[p * strong, (1 - p) * strong]], np.eye(2) * 0.05])
-                want = np.concatenate([want, [first[i] * strong], np.array([a[i], b[i]]) * 0.05])
-                found, *_ = np.linalg.lstsq(rows, want, rcond=None)
-                a[i], b[i] = np.clip(0.5 * np.array([a[i], b[i]]) + 0.5 * found, low, high)
-            if steps <= 1:
-                break
-        left = second - p * np.outer(a, a) - (1 - p) * np.outer(b, b)
-        spread = np.sqrt(np.outer(first * (1 - first), first * (1 - first))) + 1e-9
-        correlation = np.clip(left / spread, -1, 1) * (1 - np.eye(m))
-        use = (np.abs(correlation) < 0.1) * (1.0 - np.eye(m))
-    weight = 1 / (1 + np.clip(correlation, 0, None).sum(1))
-    return LabelModel(p, a, b, weight, correlation)
+    for _ in range(rounds):
+        on, off = np.log(a / b), np.log((1 - a) / (1 - b))
+        odds = F.lit(float(np.log(p / (1 - p)) + off.sum()))
+        for i in range(m):
+            odds = odds + bit(i) * F.lit(float(on[i] - off[i]))
+        q = 1 / (1 + F.exp(-odds))
+        r = patterns.withColumn("q", q * F.col("n")).agg(F.sum("q").alias("q"), *(F.sum(F.col("q") * bit(i)).alias(f"v{i}") for i in range(m))).first()
+        toxic, on_toxic = float(r["q"]), np.array([float(r[f"v{i}"]) for i in range(m)])
+        new_a = np.clip((on_toxic + toxic * a0) / (2 * toxic + 1e-9), low, high)
+        new_b = np.clip((hits - on_toxic + (n - toxic) * b0) / (2 * (n - toxic) + 1e-9), low, high)
+        moved = max(np.abs(new_a - a).max(), np.abs(new_b - b).max())
+        a, b, p = new_a, new_b, float(np.clip(toxic / n, 0.2 * known[0], min(0.6, 5 * known[0])))
+        if moved < 1e-4:
+            break
+    pairs = [(i, j) for i in range(m) for j in range(i)]
+    both = np.zeros((m, m))
+    for at in range(0, len(pairs), 400):
+        some = pairs[at : at + 400]
+        r = patterns.agg(*(F.sum(F.col("n") * bit(i) * bit(j)) for i, j in some)).first()
+        for (i, j), v in zip(some, r, strict=True):
+            both[i, j] = both[j, i] = float(v or 0)
+    first = hits / n
+    left = both / n - p * np.outer(a, a) - (1 - p) * np.outer(b, b)
+    spread = np.sqrt(np.outer(first * (1 - first), first * (1 - first))) + 1e-9
+    correlation = np.clip(left / spread, -1, 1) * (1 - np.eye(m))
+    strong = np.where(correlation > 0.1, correlation, 0.0)
+    return LabelModel(p, a, b, 1 / (1 + strong.sum(1)), correlation)
 
 
 @dataclass
@@ -234,24 +251,15 @@ def _votes(rows: DataFrame, voters: Voters) -> DataFrame:
     return map_columns(rows, ["_y"], ["terms"], add, lambda: lambda c: [[voters.vote(set(x)).tolist() for x in c.to_pylist()]])
 
 
-def moments(docs: DataFrame, voters: Voters, text_col: str) -> tuple[int, np.ndarray]:
-    """The number of documents and, for each two voters, of those where both vote; over all documents."""
-    m = voters.n + 1
+def patterns(docs: DataFrame, voters: Voters, text_col: str) -> DataFrame:
+    """(mask, n): each combination of votes on a document, as bits, with its count; over all documents."""
+    weights = 1 << np.arange(voters.n + 1, dtype=np.int64)
 
     def make():
-        def step(column: pa.Array) -> list:
-            votes = np.array([voters.vote(terms(x)) for x in texts(column)], np.int64).reshape(-1, m)
-            total = votes.T @ votes
-            return [[total.ravel().tolist()] + [None] * (len(column) - 1) if len(column) else []]
-
-        return step
+        return lambda column: [[int(voters.vote(terms(x)).astype(np.int64) @ weights) for x in texts(column)]]
 
-    summed = map_columns(docs, [], [text_col], T.StructType([T.StructField("sums", T.ArrayType(T.LongType()))]), make)
-    rows = summed.select(F.lit(1).alias("one"), F.col("sums")).filter("sums is not null").select(F.posexplode("sums").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).collect()
-    out = np.zeros(m * m)
-    for r in rows:
-        out[r["k"]] = r["v"]
-    return docs.count(), out.reshape(m, m)
+    masks = map_columns(docs, [], [text_col], T.StructType([T.StructField("mask", T.LongType())]), make)
+    return materialise(masks.groupBy("mask").agg(F.count(F.lit(1)).alias("n")), "votes")
 
 
 def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", labelled: int = LABELLED, sample: int = SAMPLE) -> Model:
@@ -270,8 +278,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "do
     prior = float(np.clip((all_known.get(True, 0) + 1) / (sum(all_known.values()) + 10), 0.005, 0.5))
     a = (rates[1] + 0.1) / (n_of[1] + 1.0) if 1 in rates else np.r_[np.full(m - 1, 0.2), 0.2]
     b = (rates[0] + 0.1) / (n_of[0] + 1.0) if 0 in rates else np.r_[np.full(m - 1, 0.01), 0.97]
-    n, second = moments(docs, voters, text_col)
-    model = fit_labels(n, second, (prior, np.clip(a, 1e-4, 0.999), np.clip(b, 1e-4, 0.999)), steps=30)
+    model = fit_labels(patterns(docs, voters, text_col), m, (prior, np.clip(a, 1e-4, 0.999), np.clip(b, 1e-4, 0.999)))
     # the labelled sample brings enough toxic rows, the other one the corpus
     more = _with_terms(_sample(base.filter(may_learn).select("_text"), "_text", sample), [], "_text")
     pool = materialise(_posteriors(learned.select("terms").unionByName(more), voters, model), "pool")
@@ -295,7 +302,11 @@ def score(docs: DataFrame, classifier: Classifier, keep: list[str], text_col: st
     def make():
         model = shared.value
         words = {t[2:]: w for t, w in model.weights.items() if t[0] == "w"}
-        starts = {t[2:]: w for t, w in model.weights.items() if t[0] == "p"}
+        starts: dict[str, list[float]] = {}
+        for t, w in model.weights.items():
+            if t[0] != "w":
+                starts.setdefault(t[2:], [0.0] * 3)["p23".index(t[0])] = w
+        weighed = starts.__contains__
 
         def step(column: pa.Array) -> list:
             out = []
@@ -303,7 +314,8 @@ def score(docs: DataFrame, classifier: Classifier, keep: list[str], text_col: st
                 found = set(_WORD.findall(text.lower()))
                 z = model.bias + sum(words[w] for w in sorted(found & words.keys()))
                 for n in PREFIXES:
-                    z += sum(starts[p] for p in sorted({w[:n] for w in found if len(w) > n} & starts.keys()))
+                    some = Counter(filter(weighed, [w[:n] for w in found if len(w) > n]))
+                    z += sum(sum(starts[p][: min(k, 3)]) for p, k in sorted(some.items()))
                 out.append(float(1 / (1 + np.exp(-np.clip(z, -60, 60)))))
             return [out]
 
