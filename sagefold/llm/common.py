@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..workspace import shared_dir, ship
+
 #: Characters that separate words: blank, tab, line feed, vertical tab, form
 #: feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -21,19 +23,6 @@ WORD_CHAR = r"[^\x20\x09-\x0D]"
 ROWS_PER_BATCH = 256
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a folder of our own where it is unset (tests)."""
-    context = spark.sparkContext
-    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not found:
-        import tempfile
-
-        found = tempfile.mkdtemp(prefix="sagefold-")
-        context.setCheckpointDir(found)
-        found = context.getCheckpointDir()
-    return found.rstrip("/")
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it from there.
 
@@ -47,7 +36,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> None:
-    """Keep Arrow batches small, so that a Python worker's memory is bounded with long texts."""
+    """Give executors this package and keep Arrow batches small, so that a Python worker's memory is bounded with long texts."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) != rows:
         spark.conf.set(key, rows)

@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import bloom
 from .common import map_columns, materialise, small_batches, texts
 
 WORDS, THRESHOLD = 5, 0.8
@@ -49,6 +50,7 @@ LEAF, DEPTH = 192, 6
 #: Sets, and shingles, of a block of a large leaf.
 BLOCK_SETS, BLOCK_SHINGLES = 2048, 2_000_000
 #: Signatures that share fewer places cannot reasonably belong to a pair: four deviations below the threshold.
+#: Leaves compare their low bytes, where other places share one by chance once in 256.
 LEAST_SHARED = math.floor(PLACES * THRESHOLD - 4 * math.sqrt(PLACES * THRESHOLD * (1 - THRESHOLD)))
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -97,7 +99,7 @@ def _kept(codes: dict) -> dict:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, h, key, n, sig): h is a hash of the text, key one of its set."""
+    """(id, h, key, n, sig, low): h is a hash of the text, key one of its set; low has the low bytes of the signature."""
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     source = source.withColumn("h", F.xxhash64("text"))
 
@@ -106,17 +108,18 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         codes: dict[bytes, int] = {}
 
         def step(column: pa.Array) -> list:
-            keys, sizes, sigs = [], [], []
+            keys, sizes, sigs, low = [], [], [], []
             for x in texts(column):
                 found = shingles(x, _kept(codes))
                 keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                 sizes.append(len(found))
-                sigs.append(signature(found, a, b).tobytes())
-            return [keys, sizes, sigs]
+                sigs.append((made := signature(found, a, b)).tobytes())
+                low.append(made.astype("u1").tobytes())
+            return [keys, sizes, sigs, low]
 
         return step
 
-    add = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("sig", T.BinaryType())])
+    add = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("low", T.BinaryType())])
     return map_columns(source, ["id", "h"], ["text"], add, make)
 
 
@@ -230,7 +233,7 @@ def _promising(table: pa.Table) -> pa.RecordBatch | None:
     n = table.num_rows
     if n < 2:
         return None
-    sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u2").reshape(n, PLACES)
+    sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), "u1").reshape(n, PLACES)
     block, across = _sides(table)
     hit = np.zeros(n, bool)
     meets = None
@@ -324,9 +327,11 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = state
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # stored apart, so that the join below has its own exchanges and can split a star's centre
+        low = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "low")
         large = both.filter("b > a").join(low, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = materialise(large, "large")
+        least = materialise(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         now = materialise(small.distinct(), "stars")
 
@@ -336,7 +341,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     signed = materialise(signatures(docs, id_col, text_col), "signed")
-    sets = materialise(signed.groupBy("key").agg(F.min(F.struct("id", "h", "n", "sig")).alias("x"), F.count(F.lit(1)).alias("copies")).select("key", "x.id", "x.h", "x.n", "x.sig", "copies"), "sets")
+    sets = materialise(signed.groupBy("key").agg(F.min(F.struct("id", "h", "n", "sig", "low")).alias("x"), F.count(F.lit(1)).alias("copies")).select("key", "x.id", "x.h", "x.n", "x.sig", "x.low", "copies"), "sets")
     runs = runs_for(recall)
     frontier, leaves = sets.filter("n > 0"), []
     for depth in range(1, DEPTH + 1):
@@ -353,9 +358,9 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall
         every = every.unionByName(more)
     every = materialise(every, "leaves")
     own = every.groupBy("key").agg(F.sort_array(F.collect_set("path")).alias("paths"))
-    rows = _cells(every.join(own, "key").join(sets.select("key", "sig"), "key"))
+    rows = _cells(every.join(own, "key").join(sets.select("key", F.col("low").alias("sig")), "key"))
     active = materialise(_grouped(rows, ["path", "cell"], _ACTIVE, _promising, parts), "active")
-    wanted = active.select("key").distinct().join(sets.select("key", "id", "h", "copies"), "key")
+    wanted = materialise(active.select("key").distinct().join(sets.select("key", "id", "h", "copies"), "key"), "wanted")
     held = materialise(_sets_of(docs, wanted, id_col, text_col), "held")
     linked = materialise(_grouped(active.join(held, "key"), ["path", "cell"], _LINKED, _verified, parts), "linked")
     links = linked.groupBy("key").agg(F.sum("links").alias("links"))
@@ -370,7 +375,10 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall
 def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(key, copies, set) of the sets in ``wanted`` (key, id, h, copies): hashes of 32 bits, sorted."""
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).withColumn("_h", F.xxhash64("text"))
-    met = source.join(wanted, (F.col("_h") == F.col("h")) & F.col("_id").eqNullSafe(F.col("id")))
+    # few texts are wanted: a filter of bounded size keeps the others from travelling
+    blocks = bloom.block_count(wanted.count())
+    some = bloom.passing(source, F.col("_h"), bloom.build(wanted, F.col("h"), blocks), blocks)
+    met = some.join(wanted, (F.col("_h") == F.col("h")) & F.col("_id").eqNullSafe(F.col("id")))
 
     def make():
         codes: dict[bytes, int] = {}

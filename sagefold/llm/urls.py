@@ -19,9 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Blocks of the filter at most: 2**17 of 32 bytes are 4 MB.
-MOST_BLOCKS = 1 << 17
-BITS = 6
+from . import bloom
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -35,37 +34,6 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def _bits(key: Column) -> tuple[Column, list[Column]]:
-    """The hash that picks a block, and the bit places in it."""
-    other = F.xxhash64(key, F.lit(1))
-    return F.xxhash64(key), [F.shiftrightunsigned(other, 8 * k).bitwiseAND(255) for k in range(BITS)]
-
-
-def _words(key: Column) -> Column:
-    """A key's bits as four longs."""
-    _, places = _bits(key)
-    return F.array(*(_or_all([F.when(F.shiftright(p, 6) == w, F.call_function("shiftleft", F.lit(1).cast("long"), p.bitwiseAND(63).cast("int"))).otherwise(F.lit(0).cast("long")) for p in places]) for w in range(4)))
-
-
-def _or_all(columns: list[Column]) -> Column:
-    out = columns[0]
-    for c in columns[1:]:
-        out = out.bitwiseOR(c)
-    return out
-
-
-def block_count(listed: int) -> int:
-    """Blocks for so many keys: about 16 bits a key, a power of two, bounded."""
-    return min(MOST_BLOCKS, 1 << max(0, (listed * 16 // 256).bit_length()))
-
-
-def bloom(keys: DataFrame, blocks: int) -> DataFrame:
-    """(block, w0..w3): the filter of the column ``key``; blocks without bits have no row."""
-    block, _ = _bits(F.col("key"))
-    rows = keys.select(F.pmod(block, F.lit(blocks)).alias("block"), _words(F.col("key")).alias("w"))
-    return rows.groupBy("block").agg(*(F.bit_or(F.col("w")[k]).alias(f"w{k}") for k in range(4)))
-
-
 def _label(host: str, path: str) -> Column:
     return F.concat(F.col(host), F.col(path))
 
@@ -79,26 +47,15 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     listed = rules.groupBy("host", "path", "priority").agg(F.min("action").alias("action")).select(_label("host", "path").alias("rule"), "action", "priority", F.concat_ws("\n", "host", "path").alias("key"), F.length("path").alias("path_length"))
     # Lengths of URL paths are few, whatever the list's size.
     lengths = sorted(r[0] for r in listed.select("path_length").distinct().collect())
-    blocks = block_count(listed.count())
+    blocks = bloom.block_count(listed.count())
     at = pages.select(F.col(f"`{id_col}`").alias("id"), host_of(F.col(f"`{url_col}`")).alias("host"), path_of(F.col(f"`{url_col}`")).alias("path"))
     labels = F.split("host", r"\.", -1)
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
     fitting = F.filter(F.array(*(F.lit(n) for n in lengths)).cast("array<int>"), lambda n: n <= F.length("path"))
     keys = F.flatten(F.transform(F.col("suffixes"), lambda h: F.transform(fitting, lambda n: F.concat_ws("\n", h, F.col("path").substr(F.lit(1), n)))))
     distinct = at.select("host", "path").filter(F.col("host") != "").distinct().withColumn("suffixes", suffixes)
-    block, _ = _bits(F.col("key"))
-    candidates = distinct.select("host", "path", F.explode(keys).alias("key")).withColumns({"block": F.pmod(block, F.lit(blocks)), "w": _words(F.col("key"))})
-    # At most MOST_BLOCKS rows of five longs, whatever the list's size.
-    passed = candidates.join(F.broadcast(bloom(listed, blocks)), "block").filter(
-        _and_all([F.col(f"w{k}").bitwiseAND(F.col("w")[k]) == F.col("w")[k] for k in range(4)])
-    )
+    candidates = distinct.select("host", "path", F.explode(keys).alias("key"))
+    passed = bloom.passing(candidates, F.col("key"), bloom.build(listed, F.col("key"), blocks), blocks)
     hits = passed.select("host", "path", "key").join(listed, "key")
     best = hits.groupBy("host", "path").agg(F.max(F.struct("priority", F.length("rule").alias("n"), "rule", "action")).alias("best"))
     return at.join(best, ["host", "path"], "left").select(F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.col("best.action").alias("action"), F.col("best.priority").alias("priority"))
-
-
-def _and_all(columns: list[Column]) -> Column:
-    out = columns[0]
-    for c in columns[1:]:
-        out = out & c
-    return out
