@@ -10,7 +10,7 @@
    voters is their correlation, by which correlated votes count less.
 3. Classifier.  A bounded sample of documents (``sample``) gets posterior labels
    from the label model; a linear classifier over words and beginnings of words
-   (the ``FEATURES`` that differ most between them) is trained on them, so that
+   (the ``FEATURES`` that tell most of toxic ones) is trained on them, so that
    words outside the lexicon count too.
 4. Every whole text is scored with the classifier's weights.
 
@@ -190,13 +190,14 @@ class Classifier:
         return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray, names: list[str], start: dict[str, float], rounds: int = 80, rate: float = 0.5, ridge: float = 2e-4) -> Classifier:
+def train(rows: list[np.ndarray], labels: np.ndarray, names: list[str], start: dict[str, float], rounds: int = 150, rate: float = 0.5, ridge: float = 2e-4) -> Classifier:
     """Logistic regression on soft labels by Adagrad over all rows.
 
     ``rows``: the places in ``names`` of the terms that each row has; weights
-    begin with ``start``.
+    begin with ``start`` and stay at 0 or above: no number of harmless words makes
+    up for an insult, so that a text's length does not decide.
     """
-    w = np.array([start.get(t, 0.0) for t in names])
+    w = np.array([max(0.0, start.get(t, 0.0)) for t in names])
     flat = np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64)
     owner = np.repeat(np.arange(len(rows)), [len(c) for c in rows])
     bias, g2, b2 = -2.0, np.full(len(names), 1e-2), 1e-2
@@ -207,7 +208,7 @@ def train(rows: list[np.ndarray], labels: np.ndarray, names: list[str], start: d
         gb = float(error.mean())
         g2 += g * g
         b2 += gb * gb
-        w -= rate * g / np.sqrt(g2)
+        w = np.maximum(0.0, w - rate * g / np.sqrt(g2))
         bias -= rate * gb / np.sqrt(b2)
     return Classifier({t: float(x) for t, x in zip(names, w, strict=True) if abs(x) > 1e-3}, float(bias))
 
@@ -219,12 +220,9 @@ class Model:
     classifier: Classifier
 
 
-def _sample(rows: DataFrame, text_col: str, most: int) -> DataFrame:
-    """About ``most`` rows at most (copies of one text come together), by a hash of their text, so that reruns agree."""
-    hashed = rows.withColumn("_h", F.xxhash64(text_col))
-    last = hashed.select("_h").orderBy("_h").limit(most).agg(F.max("_h")).first()[0]
-    distinct = hashed.filter(F.col("_h") <= F.lit(last).cast("long")).dropDuplicates(["_h"])
-    return distinct.drop("_h")
+def _sample(rows: DataFrame, most: int) -> DataFrame:
+    """(_id, _h, _y) of ``most`` rows at most, by a hash of their text, so that reruns agree; one row of each text."""
+    return rows.groupBy("_h").agg(F.min("_id").alias("_id"), F.max("_y").alias("_y")).orderBy("_h").limit(most)
 
 
 def _with_terms(rows: DataFrame, keep: list[str], text_col: str) -> DataFrame:
@@ -265,10 +263,16 @@ def patterns(docs: DataFrame, voters: Voters, text_col: str) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", labelled: int = LABELLED, sample: int = SAMPLE) -> Model:
     """Voters, label model and classifier.  ``may_learn``: a condition on the id; other rows' labels are never read."""
     known = labels.filter(may_learn).filter(F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("_y"))
-    base = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias("_text"))
-    marked = base.join(known, id_col).select((F.col("_y") > 0).cast("int").alias("_y"), "_text")
-    halves = [_sample(marked.filter(F.col("_y") == y), "_text", labelled // 2) for y in (0, 1)]
-    learned = materialise(_with_terms(halves[0].unionByName(halves[1]), ["_y"], "_text"), "labelled")
+    texts_of = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias("_text")).withColumn("_h", F.xxhash64("_text"))
+    base = texts_of.filter(may_learn).withColumnRenamed(id_col, "_id")
+    hashes = materialise(base.select("_id", "_h"), "hashes")
+    marked = hashes.join(known.select(F.col(id_col).alias("_id"), (F.col("_y") > 0).cast("int").alias("_y")), "_id")
+    halves = [_sample(marked.filter(F.col("_y") == y), labelled // 2) for y in (0, 1)]
+    corpus = _sample(hashes.withColumn("_y", F.lit(None).cast("int")), sample)
+    # the samples have bounded numbers of rows: their ids are broadcast, texts do not travel
+    chosen = materialise(halves[0].unionByName(halves[1]).unionByName(corpus), "sample")
+    taken = materialise(_with_terms(base.join(F.broadcast(chosen), ["_id", "_h"]), ["_y"], "_text"), "labelled")
+    learned, more = taken.filter("_y is not null"), taken.filter("_y is null")
     n_of = {r["_y"]: r["count"] for r in learned.groupBy("_y").count().collect()}
     counted = learned.select("_y", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("_y").alias("bad"), F.sum(1 - F.col("_y")).alias("good"))
     voters = mine(counted, n_of.get(1, 0), n_of.get(0, 0))
@@ -280,17 +284,17 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "do
     b = (rates[0] + 0.1) / (n_of[0] + 1.0) if 0 in rates else np.r_[np.full(m - 1, 0.01), 0.97]
     model = fit_labels(patterns(docs, voters, text_col), m, (prior, np.clip(a, 1e-4, 0.999), np.clip(b, 1e-4, 0.999)))
     # the labelled sample brings enough toxic rows, the other one the corpus
-    more = _with_terms(_sample(base.filter(may_learn).select("_text"), "_text", sample), [], "_text")
-    pool = materialise(_posteriors(learned.select("terms").unionByName(more), voters, model), "pool")
+    pool = materialise(_posteriors(learned.unionByName(more).select("terms"), voters, model), "pool")
     mean = pool.agg(F.avg("q")).first()[0] or 0.0
-    tilt = F.abs(F.col("q") - F.col("n") * mean) / F.sqrt("n")
-    weighed = pool.select("q", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("q").alias("q"), F.count(F.lit(1)).alias("n")).filter("n >= 3")
+    # deviations by which a term's posterior labels exceed the mean
+    tilt = (F.col("q") - F.col("n") * mean) / F.sqrt(F.col("n") * max(mean * (1 - mean), 1e-9))
+    weighed = pool.select("q", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("q").alias("q"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= 3).filter(tilt > 3)
     names = sorted({r["term"] for r in weighed.orderBy(F.desc(tilt), "term").limit(FEATURES).select("term").collect()} | voters.terms.keys())
     place = {t: i for i, t in enumerate(names)}
     index = map_columns(pool, ["q"], ["terms"], T.StructType([T.StructField("at", T.ArrayType(T.IntegerType()))]), lambda: lambda c: [[[place[t] for t in x if t in place] for x in c.to_pylist()]])
     rows = [(r["q"], np.array(r["at"], np.int32)) for r in index.collect()]
     strength = np.log(model.a / model.b) * model.weight
-    start = {t: float(np.clip(strength[k], -1, 5)) for t, k in voters.terms.items()}
+    start = {t: float(np.clip(strength[k], 0, 8)) for t, k in voters.terms.items()}
     return Model(voters, model, train([x for _, x in rows], np.array([q for q, _ in rows]), names, start))
 
 
