@@ -236,7 +236,7 @@ def _pieces(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col:
                         rows.append((key, None, stop - begin, payload, "chunk"))
                     begin = stop
                 rows.append((merkle(keys), doc, len(n) // width, b"".join(keys), "recipe"))
-            if len(seen) > 2_000_000:
+            if len(seen) > 500_000:
                 seen = set()
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.string()), strict=True)], names=_PIECES.names)
 
