@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -132,10 +133,33 @@ class LabelModel:
         return share
 
 
-def fit_labels(patterns: DataFrame, m: int, known: tuple[float, np.ndarray, np.ndarray], rounds: int = 12) -> LabelModel:
+def _sums(stored: DataFrame, width: int, work: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum over all patterns of ``work``(votes as rows of 0 and 1, counts), which gives ``width`` numbers for a batch.
+
+    Each batch becomes one row; a plan that stays the same from round to round
+    needs no new code.
+    """
+
+    def make():
+        def step(masks: pa.Array, counts: pa.Array) -> list:
+            votes = masks.to_numpy()[:, None] >> np.arange(64) & 1
+            total = work(votes.astype(float), counts.to_numpy().astype(float))
+            return [[total.tolist()] + [None] * (len(masks) - 1) if len(masks) else []]
+
+        return step
+
+    rows = map_columns(stored, [], ["mask", "n"], T.StructType([T.StructField("sums", T.ArrayType(T.DoubleType()))]), make)
+    each = rows.filter("sums is not null").select(F.posexplode("sums").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).collect()
+    out = np.zeros(width)
+    for r in each:
+        out[r["k"]] = r["v"]
+    return out
+
+
+def fit_labels(stored: DataFrame, m: int, known: tuple[float, np.ndarray, np.ndarray], rounds: int = 12) -> LabelModel:
     """The label model over all documents' votes.
 
-    ``patterns``: (mask, n), the distinct combinations of votes with their counts,
+    ``stored``: (mask, n), the distinct combinations of votes with their counts,
     however many there are; each round of expectation-maximisation is one
     aggregation of them.  ``known``: prior and rates on the labelled rows, which
     count as much as the unlabelled ones of their class: they keep the classes'
@@ -143,33 +167,27 @@ def fit_labels(patterns: DataFrame, m: int, known: tuple[float, np.ndarray, np.n
     """
     p, a0, b0 = known
     a, b = a0.copy(), b0.copy()
-    bit = lambda i: F.shiftright("mask", i).bitwiseAND(1)
-    total = patterns.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), *(F.sum(F.col("n") * bit(i)).alias(f"v{i}") for i in range(m))).first()
-    n, hits = float(total["n"]), np.array([float(total[f"v{i}"] or 0) for i in range(m)])
+    both = _sums(stored, m * m + 1, lambda v, n: np.append((v[:, :m].T * n) @ v[:, :m], n.sum()))
+    n, both = both[-1], both[:-1].reshape(m, m)
     if not n:
         return LabelModel(p, a, b, np.ones(m), np.zeros((m, m)))
-    low, high = 1e-5, 1 - 1e-5
+    hits, low, high = np.diag(both).copy(), 1e-5, 1 - 1e-5
     for _ in range(rounds):
         on, off = np.log(a / b), np.log((1 - a) / (1 - b))
-        odds = F.lit(float(np.log(p / (1 - p)) + off.sum()))
-        for i in range(m):
-            odds = odds + bit(i) * F.lit(float(on[i] - off[i]))
-        q = 1 / (1 + F.exp(-odds))
-        r = patterns.withColumn("q", q * F.col("n")).agg(F.sum("q").alias("q"), *(F.sum(F.col("q") * bit(i)).alias(f"v{i}") for i in range(m))).first()
-        toxic, on_toxic = float(r["q"]), np.array([float(r[f"v{i}"]) for i in range(m)])
+        base = np.log(p / (1 - p)) + off.sum()
+
+        def work(v: np.ndarray, count: np.ndarray, base: float = base, weights: np.ndarray = on - off) -> np.ndarray:
+            q = count / (1 + np.exp(-np.clip(base + v[:, :m] @ weights, -500, 500)))
+            return np.append(q @ v[:, :m], q.sum())
+
+        found = _sums(stored, m + 1, work)
+        toxic, on_toxic = found[-1], found[:-1]
         new_a = np.clip((on_toxic + toxic * a0) / (2 * toxic + 1e-9), low, high)
         new_b = np.clip((hits - on_toxic + (n - toxic) * b0) / (2 * (n - toxic) + 1e-9), low, high)
         moved = max(np.abs(new_a - a).max(), np.abs(new_b - b).max())
         a, b, p = new_a, new_b, float(np.clip(toxic / n, 0.2 * known[0], min(0.6, 5 * known[0])))
         if moved < 1e-4:
             break
-    pairs = [(i, j) for i in range(m) for j in range(i)]
-    both = np.zeros((m, m))
-    for at in range(0, len(pairs), 400):
-        some = pairs[at : at + 400]
-        r = patterns.agg(*(F.sum(F.col("n") * bit(i) * bit(j)) for i, j in some)).first()
-        for (i, j), v in zip(some, r, strict=True):
-            both[i, j] = both[j, i] = float(v or 0)
     first = hits / n
     left = both / n - p * np.outer(a, a) - (1 - p) * np.outer(b, b)
     spread = np.sqrt(np.outer(first * (1 - first), first * (1 - first))) + 1e-9
