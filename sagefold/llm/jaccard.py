@@ -10,7 +10,8 @@
    with one set ends; one with few sets is a leaf; others go on, down to
    ``depth``.  ``runs`` trees repeat it until the target recall: at the
    threshold a pair stays together with probability 0.84 a level at depth one,
-   and with eight runs over 0.99 of them meet.  ``runs_for`` gives the number.
+   and with eight runs over 0.99 of them meet at the last level.  ``runs_for``
+   gives the number for the depth that trees may reach.
 4. Leaves are compared by brute force: signatures first, then the sets
    themselves, exactly.  Leaves that stay large at the last depth (near copies of
    each other) are cut into blocks, and each two blocks are compared.  A pair
@@ -342,7 +343,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     signed = materialise(signatures(docs, id_col, text_col), "signed")
     sets = materialise(signed.groupBy("key").agg(F.min(F.struct("id", "h", "n", "sig", "low")).alias("x"), F.count(F.lit(1)).alias("copies")).select("key", "x.id", "x.h", "x.n", "x.sig", "x.low", "copies"), "sets")
-    runs = runs_for(recall)
+    runs = runs_for(recall, THRESHOLD, DEPTH)
     frontier, leaves = sets.filter("n > 0"), []
     for depth in range(1, DEPTH + 1):
         children = materialise(_extend(frontier.select("key", "n", "sig") if depth == 1 else frontier, runs if depth == 1 else None), "paths")

@@ -62,6 +62,19 @@ def test_recall_rises_with_runs():
     assert jaccard.runs_for(0.99) <= 6 < jaccard.runs_for(0.9999)
 
 
+def test_jaccard_recall_at_the_last_level(spark, monkeypatch):
+    """Pairs just over the threshold that only part at the last level, as in large groups."""
+    monkeypatch.setattr(jaccard, "LEAF", 1)
+    rng = random.Random(8)
+    rows = []
+    for k in range(2000):
+        text = words(rng, 104).split()
+        n = 9 + k % 3  # of 100 shingles n differ: similarities of 0.80 to 0.83
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(text[:-n] + words(rng, n).split()))]
+    out = jaccard.link(frame(spark, [(i, t, None, None) for i, t in rows])).filter("n_links > 0").count()
+    assert out >= 0.985 * len(rows)
+
+
 def urls_wanted(rows):
     out = []
     for i, u in rows:
