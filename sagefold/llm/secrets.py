@@ -13,7 +13,9 @@ every token of 20 or more characters of an encoding's alphabet is a candidate:
   of tokens with p over 1/2 estimates how many random ones there are, and for
   any cut the false ones among those above it.  For each stratum of encoding and
   length the lowest cut whose estimated false-discovery rate is at most ``rate``
-  decides, with histograms over all candidates of the corpus.
+  decides, with histograms over all candidates of the corpus.  A stratum of few
+  candidates takes in the nearest lengths of its encoding, and the estimate counts
+  one token more than it sees, so that a lone random token is not ruled out.
 
 Candidates that overlap a known form stay with that form.  All of it runs as
 built-in expressions.
@@ -51,8 +53,8 @@ ALPHABETS = {
 }
 #: Bins of the histogram of p.
 BINS = 200
-#: Candidates of a stratum from which its own histogram decides; below, the cut is FEW.
-LEAST, FEW = 50, 0.05
+#: Candidates of a stratum from which its own histogram decides; below, neighbouring lengths are added.
+LEAST = 50
 
 
 def _as(spans: Column, kind: str) -> Column:
@@ -131,21 +133,34 @@ def cuts(measured: DataFrame, rate: float) -> dict[tuple[str, int], float]:
     by: dict[tuple[str, int], list[int]] = {}
     for r in rows:
         by.setdefault((r["encoding"], r["stratum"]), [0] * BINS)[r["bin"]] += r["count"]
-    out = {}
-    for key, counts in by.items():
-        random = min(sum(counts), 2 * sum(counts[BINS // 2 :]))
-        cut, found = None, 0
-        for k in range(BINS - 1, -1, -1):
-            found += counts[k]
-            true = random * (BINS - k) / BINS
-            if found and max(0.0, found - true) / found <= rate:
-                cut = k / BINS
-        if sum(counts) < LEAST:
-            cut = FEW
-        if cut is not None and random:
-            # the lowest bin holds the words as well; a random token is there once in BINS
-            out[key] = max(cut, 1 / BINS)
-    return out
+    return {key: _cut(_pooled(by, key), rate) for key in by}
+
+
+def _pooled(by: dict[tuple[str, int], list[int]], key: tuple[str, int]) -> list[int]:
+    """The stratum's histogram; below LEAST candidates with those of the nearest lengths of its encoding."""
+    encoding, stratum = key
+    apart = sorted({abs(s - stratum) for e, s in by if e == encoding})
+    counts = [0] * BINS
+    for far in apart:
+        for at in {stratum - far, stratum + far}:
+            counts = [a + b for a, b in zip(counts, by.get((encoding, at), [0] * BINS), strict=True)]
+        if sum(counts) >= LEAST:
+            break
+    return counts
+
+
+def _cut(counts: list[int], rate: float) -> float:
+    """The lowest p from which tokens of a histogram count as random."""
+    # one more than is seen: no random token over 1/2 does not mean that there is none
+    random = min(sum(counts), 2 * (sum(counts[BINS // 2 :]) + 1))
+    cut, found = 1.0, 0
+    for k in range(BINS - 1, -1, -1):
+        found += counts[k]
+        true = random * (BINS - k) / BINS
+        if found and max(0.0, found - true) / found <= rate:
+            cut = k / BINS
+    # the lowest bin holds the words as well; a random token is there once in BINS
+    return max(cut, 1 / BINS)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.05) -> DataFrame:

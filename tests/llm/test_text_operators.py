@@ -51,6 +51,22 @@ def test_secrets_random_tokens(spark):
     assert found > 120 and false <= 8
 
 
+def test_secrets_lone_random_tokens(spark):
+    """A random token alone at its length is found, whatever its p and whether there are words of other lengths."""
+
+    def cuts_of(rows):
+        return secrets.cuts(spark.createDataFrame(rows, "encoding string, n double, p double"), 0.05)
+
+    words = [("base62", 24.0, 0.001)] * 1000
+    for p in (0.02, 0.1, 0.3, 0.49, 0.51, 0.9):
+        lone = [("base62", 88.0, p)]
+        assert all(cuts_of(rows)["base62", 12] <= p for rows in (lone, lone + words, lone + words[:20]))
+    # five among many words, none of which has a high p
+    assert cuts_of(words + [("base62", 24.0, p) for p in (0.15, 0.3, 0.4, 0.6, 0.7)])["base62", 9] <= 0.15
+    # words are not random, alone or many
+    assert cuts_of(words)["base62", 9] > 0.001 and cuts_of(words[:1])["base62", 9] > 0.001
+
+
 def test_battery_probabilities(spark):
     """p is about uniform on random tokens and near 0 on repeated ones."""
     import random
