@@ -101,6 +101,25 @@ def test_disclosing_terms(spark):
     assert all(out[200 + k]["spans"] == [] and out[200 + k]["clean"] == out[200 + k]["_text"] for k in range(40))
 
 
+def test_disclosing_terms_of_few_documents(spark):
+    """A name by an address in two documents discloses it, in the same phrase too; near copies of a document are one."""
+    import random
+
+    from .conftest import words
+
+    rng = random.Random(4)
+    rows = [(k, f"{words(rng, 60)} contact Jane Quorbin at jane@example.com today {words(rng, 60)}", None, None) for k in range(2)]
+    base = f"{words(rng, 60)} odd Wexlify near eve@example.com here {words(rng, 60)}".split()
+    for k in range(12):
+        edited = list(base)
+        edited[rng.choice([*range(50), *range(80, 120)])] = f"edit{k}"
+        rows.append((100 + k, " ".join(edited), None, None))
+    rows += [(200 + k, f"contact today at {words(rng, 30)}", None, None) for k in range(40)] + [(300, "Quorbin and Wexlify", None, None)]
+    df = pii.scan(frame(spark, rows))
+    out = {r["doc_id"]: r["clean"] for r in df.select("doc_id", pii.sanitise(F.col("_text"), F.col("spans")).alias("clean")).collect()}
+    assert "Quorbin" not in out[300] and "Quorbin" not in out[0] and "Wexlify" in out[300] and "Wexlify" in out[105]
+
+
 def test_sanitise_overlaps(spark):
     df = spark.createDataFrame([("1.2.3.4@mail.example.com x",)], "_text string")
     out = df.withColumn("clean", pii.sanitise(F.col("_text"), pii.known(F.col("_text")))).first()
