@@ -199,7 +199,6 @@ def test_token_store(spark, docs, texts, tmp_path):
 
     path = queries.tokenizer("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     token_store.write_store(docs, str(tmp_path / "store"), path)
     got = token_store.read_digests(spark, str(tmp_path / "store")).collect()
     ids = sorted(((i, library.encode(t or "", add_special_tokens=False).ids + [0]) for i, t in texts), key=lambda x: (x[0] is not None, x[0]))
@@ -217,6 +216,56 @@ def test_token_store(spark, docs, texts, tmp_path):
     assert len(keys) == len(set(keys))
 
 
+def test_token_store_added_tokens():
+    """Added tokens count as the plain library has them; texts around them too."""
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer("byte_bpe_50k.json")
+    library, words = Tokenizer.from_file(path), token_store.WordEncoder(path, size=40)
+    some = ["hello <|endoftext|> world", "<|endoftext|>", "x<|endoftext|><|endoftext|> y", "<|endoftext", "a  b   c ", "\n x\n\n  y", " \u3000 x   y", "Ωmega 日本語 тест 'S 's", "plain words only", None]
+    assert encoded(words, some) == [library.encode(x or "", add_special_tokens=False).ids + [0] for x in some]
+    assert 50256 in library.encode(some[0], add_special_tokens=False).ids
+
+
+def encoded(words, some):
+    import pyarrow as pa
+
+    ids, stops = words.encode(*token_store.joined(pa.array(some, pa.string())), 0)
+    stops = [0, *stops.tolist()]
+    return [ids[a:b].tolist() for a, b in zip(stops, stops[1:], strict=False)]
+
+
+def test_token_store_any_text():
+    """Texts of characters that stand at the places where texts are cut, with a table that is often full."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer("byte_bpe_50k.json")
+    library, words = Tokenizer.from_file(path), token_store.WordEncoder(path, size=300)
+    rng = random.Random(6)
+    pieces_ = [" ", " ", "  ", "\n", "\n\n", "\r\n", "\t", "\x0b", "\x85", "\xa0", "\u2003", "\u3000", "\u1680", "\0", "\x1f", "\x7f", "'", "'s", "'ll", "'S", ".", ",", "...", "!?", "(", "#", "%%%", "_", "-", "é", "ß", "日本", "😀", "\u0301", "²", "½", "٣", "7", "42", "a", "the", "Word", "internationalization", "x" * 30]
+    for _ in range(30):
+        some = ["".join(rng.choice(pieces_) for _ in range(rng.randrange(40))) for _ in range(100)]
+        assert encoded(words, some) == [library.encode(x, add_special_tokens=False).ids + [0] for x in some]
+
+
+def test_token_store_sees_damage(spark, docs, tmp_path):
+    """A recipe that is lost, doubled or moved fails its part."""
+    path = str(tmp_path / "store")
+    token_store.write_store(docs, path, queries.tokenizer("byte_bpe_50k.json"))
+    order = spark.read.parquet(f"{path}/order")
+    row = order.filter("kind = 'recipe' and row = 1").first()
+    gone = order.filter(~((F.col("kind") == "recipe") & (F.col("part") == row["part"]) & (F.col("row") == 1)))
+    same = (F.col("kind") == "recipe") & (F.col("part") == row["part"])
+    moved = order.withColumn("row", F.when(same & (F.col("row") == 1), 0).when(same & (F.col("row") == 0), 1).otherwise(F.col("row")).cast("long"))
+    for k, bad in enumerate((gone, order.unionByName(order.filter(same & (F.col("row") == 1))), moved)):
+        other = str(tmp_path / f"bad{k}")
+        bad.write.partitionBy("kind").parquet(f"{other}/order")
+        sound = {r["part"]: r["sound"] for r in token_store.starts(spark, other)[0].collect()}
+        assert [p for p, x in sound.items() if not x] == [row["part"]]
+
+
 def test_crc_join():
     joiner = token_store.CrcJoiner()
     a, b = b"some bytes", b"others, more of them" * 50
