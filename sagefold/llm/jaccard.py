@@ -49,7 +49,7 @@ WORDS, THRESHOLD = 5, 0.8
 PLACES = 128
 LEAF, DEPTH = 192, 6
 #: Sets, and shingles, of a block of a large leaf.
-BLOCK_SETS, BLOCK_SHINGLES = 2048, 2_000_000
+BLOCK_SETS, BLOCK_SHINGLES = 256, 2_000_000
 #: Signatures that share fewer places cannot reasonably belong to a pair: four deviations below the threshold.
 #: Leaves compare their low bytes, where other places share one by chance once in 256.
 LEAST_SHARED = math.floor(PLACES * THRESHOLD - 4 * math.sqrt(PLACES * THRESHOLD * (1 - THRESHOLD)))
@@ -93,34 +93,50 @@ def signature(found: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((low * np.uint32(2654435769)) >> np.uint32(16)).astype("<u2")
 
 
+def least(found: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The shingles that hash functions make smallest."""
+    x = (found >> np.uint64(32)).astype(np.uint32)
+    return found[(x[:, None] * a + b).argmin(0)]
+
+
 def _kept(codes: dict) -> dict:
     if len(codes) > 400_000:
         codes.clear()
     return codes
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, h, key, n, sig, low): h is a hash of the text, key one of its set; low has the low bytes of the signature."""
+def signatures(docs: DataFrame, runs: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, h, key, n, low, high, first): h is a hash of the text, key one of its set.
+
+    ``low`` and ``high`` have the bytes of the signature, ``first`` the set's nodes
+    at the first level of ``runs`` trees.  There a node stands for a shingle with all its
+    64 bits: by the signature's 16 bits, sets that share nothing would meet, the
+    more the larger the corpus.
+    """
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     source = source.withColumn("h", F.xxhash64("text"))
 
     def make():
         a, b = _multipliers()
+        paths, places = _first(runs)
         codes: dict[bytes, int] = {}
 
         def step(column: pa.Array) -> list:
-            keys, sizes, sigs, low = [], [], [], []
+            keys, sizes, low, high, first = [], [], [], [], []
             for x in texts(column):
                 found = shingles(x, _kept(codes))
                 keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                 sizes.append(len(found))
-                sigs.append((made := signature(found, a, b)).tobytes())
+                made = signature(found, a, b)
                 low.append(made.astype("u1").tobytes())
-            return [keys, sizes, sigs, low]
+                high.append((made >> 8).astype("u1").tobytes())
+                first.append(_mix(paths + least(found, a[places], b[places])).view(np.int64) if len(found) else np.zeros(0, np.int64))
+            ends = np.cumsum([0, *map(len, first)]).astype("i4")
+            return [keys, sizes, low, high, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*first, np.zeros(0, np.int64)])))]
 
         return step
 
-    add = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("low", T.BinaryType())])
+    add = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("low", T.BinaryType()), T.StructField("high", T.BinaryType()), T.StructField("first", T.ArrayType(T.LongType()))])
     return map_columns(source, ["id", "h"], ["text"], add, make)
 
 
@@ -139,37 +155,41 @@ def runs_for(recall: float, similarity: float = THRESHOLD, depth: int = 3) -> in
     return math.ceil(math.log(1 - recall) / math.log(1 - survival(similarity, depth)))
 
 
-def _children(paths: np.ndarray, sigs: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(rows, child paths): one chosen place for each node, a second one for a quarter of the nodes."""
+def _chosen(paths: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, places, seeds of the children's paths): one chosen place for each node, a second one for a quarter of the nodes."""
     extra = int((1 / THRESHOLD - 1) * (1 << 32))
     out = []
     for k in range(2):
         random = _mix(paths + np.array([k + 1], np.uint64) * _ODD)
-        place = (random % np.uint64(PLACES)).astype(np.int64)
+        place = random % np.uint64(PLACES)
         rows = np.arange(len(paths)) if k == 0 else np.flatnonzero((random >> np.uint64(32)) < np.uint64(extra))
-        value = sigs[rows, place[rows]].astype(np.uint64)
-        out.append((rows, _mix(paths[rows] * _ODD + (place[rows].astype(np.uint64) << np.uint64(16)) + value)))
+        out.append((rows, place[rows].astype(np.int64), paths[rows] * _ODD + (place[rows] << np.uint64(16))))
     return out
 
 
+def _first(runs: int) -> tuple[np.ndarray, np.ndarray]:
+    """(seeds, places) of the nodes below the roots of ``runs`` trees."""
+    made = _chosen(_mix(np.arange(1, runs + 1, dtype=np.uint64)))
+    return np.concatenate([_mix(x[2]) for x in made]), np.concatenate([x[1] for x in made])
+
+
 _PATHS = T.StructType([T.StructField("path", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("n", T.LongType())])
 
 
-def _extend(nodes: DataFrame, runs: int | None) -> DataFrame:
-    """(path, key, n): the children; of (key, n, sig) from ``runs`` roots, else of (path, key, n, sig)."""
+def _extend(nodes: DataFrame) -> DataFrame:
+    """(path, key, n): the children of (path, key, n, low, high)."""
     small_batches(nodes.sparkSession, 4096)
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u2").reshape(-1, PLACES)
+            low, high = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "u1").reshape(-1, PLACES) for c in ("low", "high"))
             keys, sizes = batch.column("key"), batch.column("n")
-            for root in range(runs or 1):
-                paths = _mix(np.full(batch.num_rows, root + 1, np.uint64)) if runs else batch.column("path").to_numpy().view(np.uint64)
-                for rows, child in _children(paths, sigs):
-                    at = pa.array(rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), keys.take(at), sizes.take(at)], names=_PATHS.names)
+            for rows, place, seed in _chosen(batch.column("path").to_numpy().view(np.uint64)):
+                at = pa.array(rows)
+                child = _mix(seed + (high[rows, place].astype(np.uint64) << np.uint64(8)) + low[rows, place])
+                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), keys.take(at), sizes.take(at)], names=_PATHS.names)
 
     return nodes.mapInArrow(run, _PATHS)
 
@@ -338,39 +358,49 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = 0.99) -> DataFrame:
-    """(id, class_id, n_links, class_size) of every row."""
+    """(id, class_id, n_links, class_size, text_hash, chosen) of every row.
+
+    ``chosen``: the text under that id is the one that stands for its class: that
+    with the smallest id (null last), of several with that id the one with the
+    smallest hash.
+    """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    signed = materialise(signatures(docs, id_col, text_col), "signed")
-    sets = materialise(signed.groupBy("key").agg(F.min(F.struct("id", "h", "n", "sig", "low")).alias("x"), F.count(F.lit(1)).alias("copies")).select("key", "x.id", "x.h", "x.n", "x.sig", "x.low", "copies"), "sets")
     runs = runs_for(recall, THRESHOLD, DEPTH)
-    frontier, leaves = sets.filter("n > 0"), []
+    signed = materialise(signatures(docs, runs, id_col, text_col), "signed")
+    one = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h", "n", "low", "high", "first")).alias("x")
+    sets = materialise(signed.groupBy("key").agg(one, F.count(F.lit(1)).alias("copies")).select("key", "x.id", "x.h", "x.n", "x.low", "x.high", "x.first", "copies"), "sets")
+    children, leaves = sets.select(F.explode("first").alias("path"), "key", "n"), []
     for depth in range(1, DEPTH + 1):
-        children = materialise(_extend(frontier.select("key", "n", "sig") if depth == 1 else frontier, runs if depth == 1 else None), "paths")
         counts = materialise(children.groupBy("path").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("t")).filter("c > 1"), "counts")
         met = children.drop("n").join(counts, "path")
         done = F.lit(True) if depth == DEPTH else F.col("c") <= LEAF
         leaves.append(met.filter(done))
         if depth == DEPTH or counts.filter(F.col("c") > LEAF).isEmpty():
             break
-        frontier = met.filter(~done).select("path", "key").join(sets.select("key", "n", "sig"), "key").select("path", "key", "n", "sig")
+        frontier = met.filter(~done).select("path", "key")
+        if depth == 1:  # what goes deeper is few: its signatures are looked up once among all
+            frontier = materialise(frontier, "frontier")
+            deep = materialise(sets.select("key", "n", "low", "high").join(frontier.select("key").distinct(), "key", "left_semi"), "deep")
+        children = materialise(_extend(frontier.join(deep, "key").select("path", "key", "n", "low", "high")), "paths")
     every = leaves[0]
     for more in leaves[1:]:
         every = every.unionByName(more)
-    every = materialise(every, "leaves")
-    own = every.groupBy("key").agg(F.sort_array(F.collect_set("path")).alias("paths"))
-    rows = _cells(every.join(own, "key").join(sets.select("key", F.col("low").alias("sig")), "key"))
-    active = materialise(_grouped(rows, ["path", "cell"], _ACTIVE, _promising, parts), "active")
+    own = every.groupBy("key").agg(F.collect_set(F.struct("path", "c", "t")).alias("leaves"))
+    own = materialise(own.join(sets.select("key", F.col("low").alias("sig")), "key"), "leaves")
+    rows = own.select("key", "sig", F.sort_array("leaves.path").alias("paths"), F.explode("leaves").alias("leaf")).select("key", "sig", "paths", "leaf.path", "leaf.c", "leaf.t")
+    active = materialise(_grouped(_cells(rows), ["path", "cell"], _ACTIVE, _promising, parts), "active")
     wanted = materialise(active.select("key").distinct().join(sets.select("key", "id", "h", "copies"), "key"), "wanted")
     held = materialise(_sets_of(docs, wanted, id_col, text_col), "held")
     linked = materialise(_grouped(active.join(held, "key"), ["path", "cell"], _LINKED, _verified, parts), "linked")
     links = linked.groupBy("key").agg(F.sum("links").alias("links"))
     roots = components(linked.select(F.col("key").alias("a"), F.col("root").alias("b")))
-    node = sets.select("key", "id", "copies").join(roots.withColumnRenamed("node", "key"), "key", "left").join(links, "key", "left")
-    node = node.select("key", "id", "copies", F.coalesce("root", "key").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
-    classes = node.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"))
-    known = materialise(node.join(classes, "root").select("key", "class_id", "class_size", (F.col("links") + F.col("copies") - 1).alias("n_links")), "classes")
-    return signed.select("id", "key").join(known, "key").select(F.col("id").alias(id_col), "class_id", "n_links", "class_size")
+    node = sets.select("key", "id", "h", "copies").join(roots.withColumnRenamed("node", "key"), "key", "left").join(links, "key", "left")
+    node = node.select("key", "id", "h", "copies", F.coalesce("root", "key").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
+    classes = node.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("least"), F.sum("copies").alias("class_size"))
+    known = materialise(node.join(classes, "root").select("key", "least", "class_size", (F.col("links") + F.col("copies") - 1).alias("n_links")), "classes")
+    whole = signed.select("id", "h", "key").join(known, "key")
+    return whole.select(F.col("id").alias(id_col), F.col("least.id").alias("class_id"), "n_links", "class_size", F.col("h").alias("text_hash"), (F.col("id").eqNullSafe(F.col("least.id")) & (F.col("h") == F.col("least.h"))).alias("chosen"))
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -388,9 +418,14 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
     return map_columns(met, ["key", "copies"], ["text"], T.StructType([T.StructField("set", T.BinaryType())]), make)
 
 
-def keep_one(docs: DataFrame, linked: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One document of each class: that with the smallest id; of repeated rows one."""
-    kept = linked.filter(F.col(id_col).eqNullSafe(F.col("class_id"))).groupBy(id_col).agg(F.count(F.lit(1)).alias("_n"))
-    joined = docs.join(kept.withColumnRenamed(id_col, "_kept"), F.col(id_col).eqNullSafe(F.col("_kept"))).drop("_kept")
-    again = joined.filter("_n > 1").drop("_n").dropDuplicates([id_col])
-    return joined.filter("_n = 1").drop("_n").unionByName(again)
+def keep_one(docs: DataFrame, linked: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each class: the row that ``link`` chose; of repeated rows one.
+
+    Documents are told apart by their id and text, so that several texts under one
+    id, or under none, each have the place that their class gives them.
+    """
+    kept = linked.filter("chosen").groupBy(F.col(id_col).alias("_kept"), F.col("text_hash").alias("_hash")).agg(F.count(F.lit(1)).alias("_n"))
+    hashed = docs.withColumn("_own", F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
+    joined = hashed.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_kept")) & (F.col("_own") == F.col("_hash"))).drop("_kept", "_hash")
+    again = joined.filter("_n > 1").dropDuplicates([id_col, "_own"])
+    return joined.filter("_n = 1").unionByName(again).drop("_n", "_own")
