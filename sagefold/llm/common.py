@@ -35,6 +35,42 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Intermediate tables of one run, in a folder of their own below the shared one.
+
+    A table may go once what is made of it is stored: nothing that comes later
+    needs it, also after a loss of executors.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.tables: dict[int, str] = {}
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written once as Parquet and read from there."""
+        path = f"{self.path}/{name}-{uuid.uuid4().hex[:8]}"
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.tables[id(out)] = path
+        out._scratch = self  # keeps id(out) from being used again
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for df in tables:
+            self._delete(self.tables.pop(id(df)))
+
+    def clear(self, *but: DataFrame) -> None:
+        """Drop all tables except those in ``but``."""
+        left = {id(df) for df in but}
+        for k in [k for k in self.tables if k not in left]:
+            self._delete(self.tables.pop(k))
+
+    def _delete(self, path: str) -> None:
+        jvm = self.spark._jvm
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
 def small_batches(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> None:
     """Give executors this package and keep Arrow batches small, so that a Python worker's memory is bounded with long texts."""
     ship(spark)

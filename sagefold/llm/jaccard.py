@@ -38,12 +38,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bloom
-from .common import map_columns, materialise, small_batches, texts
+from .common import Scratch, map_columns, small_batches, texts
 
 WORDS, THRESHOLD = 5, 0.8
 PLACES = 128
@@ -338,9 +338,15 @@ def _cells(leaves: DataFrame) -> DataFrame:
     return df.withColumn("cell", low * F.col("blocks") + high).withColumn("across", low != high).drop("other", "blocks", "c", "t")
 
 
+def _met(left: DataFrame, right: DataFrame, on: str | Column, how: str = "inner") -> DataFrame:
+    """A join of two sides that both grow with the corpus: shuffled at every size, never broadcast below one."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of (a, b): each node's smallest reachable one, by large and small stars."""
-    now = materialise(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    scratch = Scratch(edges.sparkSession, "components")
+    now = scratch.store(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     while True:
         state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
@@ -349,12 +355,13 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # stored apart, so that the join below has its own exchanges and can split a star's centre
-        low = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "low")
+        low = scratch.store(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "low")
         large = both.filter("b > a").join(low, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = materialise(large, "large")
-        least = materialise(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        large = scratch.store(large, "large")
+        least = scratch.store(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        now = materialise(small.distinct(), "stars")
+        now = scratch.store(small.distinct(), "stars")
+        scratch.clear(now)
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = 0.99) -> DataFrame:
@@ -367,39 +374,45 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     runs = runs_for(recall, THRESHOLD, DEPTH)
-    signed = materialise(signatures(docs, runs, id_col, text_col), "signed")
+    scratch = Scratch(spark, "jaccard")
+    signed = scratch.store(signatures(docs, runs, id_col, text_col), "signed")
+    ids = scratch.store(signed.select("id", "h", "key"), "ids")
     one = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h", "n", "low", "high", "first")).alias("x")
-    sets = materialise(signed.groupBy("key").agg(one, F.count(F.lit(1)).alias("copies")).select("key", "x.id", "x.h", "x.n", "x.low", "x.high", "x.first", "copies"), "sets")
+    sets = scratch.store(signed.groupBy("key").agg(one, F.count(F.lit(1)).alias("copies")).select("key", "x.id", "x.h", "x.n", "x.low", "x.high", "x.first", "copies"), "sets")
+    scratch.drop(signed)
     children, leaves = sets.select(F.explode("first").alias("path"), "key", "n"), []
     for depth in range(1, DEPTH + 1):
-        counts = materialise(children.groupBy("path").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("t")).filter("c > 1"), "counts")
-        met = children.drop("n").join(counts, "path")
+        counts = scratch.store(children.groupBy("path").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("t")).filter("c > 1"), "counts")
+        met = _met(children.drop("n"), counts, "path")
         done = F.lit(True) if depth == DEPTH else F.col("c") <= LEAF
         leaves.append(met.filter(done))
         if depth == DEPTH or counts.filter(F.col("c") > LEAF).isEmpty():
             break
         frontier = met.filter(~done).select("path", "key")
         if depth == 1:  # what goes deeper is few: its signatures are looked up once among all
-            frontier = materialise(frontier, "frontier")
-            deep = materialise(sets.select("key", "n", "low", "high").join(frontier.select("key").distinct(), "key", "left_semi"), "deep")
-        children = materialise(_extend(frontier.join(deep, "key").select("path", "key", "n", "low", "high")), "paths")
+            frontier = scratch.store(frontier, "frontier")
+            deep = scratch.store(_met(sets.select("key", "n", "low", "high"), frontier.select("key").distinct(), "key", "left_semi"), "deep")
+        children = scratch.store(_extend(_met(frontier, deep, "key").select("path", "key", "n", "low", "high")), "paths")
     every = leaves[0]
     for more in leaves[1:]:
         every = every.unionByName(more)
     own = every.groupBy("key").agg(F.collect_set(F.struct("path", "c", "t")).alias("leaves"))
-    own = materialise(own.join(sets.select("key", F.col("low").alias("sig")), "key"), "leaves")
+    own = scratch.store(_met(sets.select("key", F.col("low").alias("sig")), own, "key"), "leaves")
     rows = own.select("key", "sig", F.sort_array("leaves.path").alias("paths"), F.explode("leaves").alias("leaf")).select("key", "sig", "paths", "leaf.path", "leaf.c", "leaf.t")
-    active = materialise(_grouped(_cells(rows), ["path", "cell"], _ACTIVE, _promising, parts), "active")
-    wanted = materialise(active.select("key").distinct().join(sets.select("key", "id", "h", "copies"), "key"), "wanted")
-    held = materialise(_sets_of(docs, wanted, id_col, text_col), "held")
-    linked = materialise(_grouped(active.join(held, "key"), ["path", "cell"], _LINKED, _verified, parts), "linked")
+    active = scratch.store(_grouped(_cells(rows), ["path", "cell"], _ACTIVE, _promising, parts), "active")
+    nodes = scratch.store(sets.select("key", "id", "h", "copies"), "nodes")
+    wanted = scratch.store(_met(nodes, active.select("key").distinct(), "key", "left_semi"), "wanted")
+    scratch.clear(ids, nodes, active, wanted)
+    held = scratch.store(_sets_of(docs, wanted, id_col, text_col), "held")
+    linked = scratch.store(_grouped(_met(active, held, "key"), ["path", "cell"], _LINKED, _verified, parts), "linked")
     links = linked.groupBy("key").agg(F.sum("links").alias("links"))
     roots = components(linked.select(F.col("key").alias("a"), F.col("root").alias("b")))
-    node = sets.select("key", "id", "h", "copies").join(roots.withColumnRenamed("node", "key"), "key", "left").join(links, "key", "left")
+    node = _met(_met(nodes, roots.withColumnRenamed("node", "key"), "key", "left"), links, "key", "left")
     node = node.select("key", "id", "h", "copies", F.coalesce("root", "key").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     classes = node.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("least"), F.sum("copies").alias("class_size"))
-    known = materialise(node.join(classes, "root").select("key", "least", "class_size", (F.col("links") + F.col("copies") - 1).alias("n_links")), "classes")
-    whole = signed.select("id", "h", "key").join(known, "key")
+    known = scratch.store(_met(node, classes, "root").select("key", "least", "class_size", (F.col("links") + F.col("copies") - 1).alias("n_links")), "classes")
+    scratch.clear(ids, known)
+    whole = _met(ids, known, "key")
     return whole.select(F.col("id").alias(id_col), F.col("least.id").alias("class_id"), "n_links", "class_size", F.col("h").alias("text_hash"), (F.col("id").eqNullSafe(F.col("least.id")) & (F.col("h") == F.col("least.h"))).alias("chosen"))
 
 
@@ -409,7 +422,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
     # few texts are wanted: a filter of bounded size keeps the others from travelling
     blocks = bloom.block_count(wanted.count())
     some = bloom.passing(source, F.col("_h"), bloom.build(wanted, F.col("h"), blocks), blocks)
-    met = some.join(wanted, (F.col("_h") == F.col("h")) & F.col("_id").eqNullSafe(F.col("id")))
+    met = _met(some, wanted, (F.col("_h") == F.col("h")) & F.col("_id").eqNullSafe(F.col("id")))
 
     def make():
         codes: dict[bytes, int] = {}
