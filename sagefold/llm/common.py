@@ -114,26 +114,63 @@ def texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def spans_of(text: Column, pattern: str | Column) -> Column:
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+#: Values that a prefix is folded over at most; prefixes of groups of them are kept.
+STEP = 64
+
+
+def prefixes(values: Column, zero: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """For each value, ``op`` over all values before it (``zero`` for the first).
+
+    Three levels: groups of 64 values, groups of 64 of those.  A value costs some
+    64 steps, however many there are; appending to an array would copy it each time.
+    """
+    fold = lambda a: F.aggregate(a, zero, op)
+    first = lambda i: F.floor(i / STEP).cast("int")
+    groups = lambda v: F.transform(F.sequence(F.lit(0), first(F.greatest(F.size(v) - 1, F.lit(0)))), lambda g: fold(F.slice(v, g * STEP + 1, F.lit(STEP))))
+    upto = lambda v, before: F.transform(v, lambda x, i: op(before[first(i)], fold(F.slice(v, first(i) * STEP + 1, i % STEP))))
+    top = lambda v: F.transform(v, lambda x, i: fold(F.slice(v, F.lit(1), i)))
+    return bound(values, lambda v: bound(groups(v), lambda one: bound(groups(one), lambda two: bound(top(two), lambda x: bound(upto(one, x), lambda y: upto(v, y))))))
+
+
+def spans_of(text: Column, pattern: str | Column, hint: str | None = None) -> Column:
     """array<struct<s int, e int, m string>>: the leftmost non-overlapping matches of ``pattern``.
 
     Offsets are code points, the end is exclusive.  What lies between matches
     comes from ``split``, the matches from ``regexp_extract_all``: both run the
-    same search, so that lengths add up to offsets without Python.
+    same search, so that lengths add up to offsets without Python.  Time is linear
+    in text and matches.  ``hint``: what every match holds; texts without it are
+    not searched.
     """
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    gaps = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,m:string>>").alias("out"))
-
-    def step(acc: Column, pair: Column) -> Column:
-        s = acc["at"] + F.length(pair["g"])
-        e = s + F.length(pair["m"])
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), pair["m"].alias("m")))).alias("out"))
-
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    added = F.aggregate(pairs, start, step, lambda acc: acc["out"])
-    return F.when(F.rlike(text, pattern), added).otherwise(F.array().cast("array<struct<s:int,e:int,m:string>>"))
+    parts = F.struct(F.split(text, pattern, -1).alias("g"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("m"))
+
+    def placed(x: Column) -> Column:
+        lengths = F.zip_with(F.slice(x["g"], F.lit(1), F.size(x["m"])), x["m"], lambda g, m: F.length(g) + F.length(m))
+        return bound(prefixes(lengths, F.lit(0), lambda a, n: a + n), lambda at: F.transform(x["m"], lambda m, i: bound(at[i] + F.length(x["g"][i]), lambda s: F.struct(s.alias("s"), (s + F.length(m)).alias("e"), m.alias("m")))))
+
+    there = F.rlike(text, pattern) if hint is None else F.contains(text, F.lit(hint)) & F.rlike(text, pattern)
+    return F.when(there, bound(parts, placed)).otherwise(F.array().cast("array<struct<s:int,e:int,m:string>>"))
+
+
+#: Characters of a block of text.
+BLOCK = 1024
+
+
+def blocks_of(text: Column) -> Column:
+    """The text in blocks, from which ``piece`` cuts without going through all of it."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def piece(blocks: Column, begin: Column, end: Column) -> Column:
+    """The code points from ``begin`` to ``end`` (0-based, exclusive) of a text in blocks."""
+    first = F.floor(begin / BLOCK).cast("int")
+    some = F.array_join(F.slice(blocks, first + 1, F.greatest(F.lit(0), F.floor((end - 1) / BLOCK).cast("int") - first + 1)), "")
+    return F.when(end > begin, F.substr(some, begin - first * BLOCK + 1, end - begin)).otherwise("")
 
 
 def span_text(spans: Column) -> Column:

@@ -21,7 +21,10 @@ Candidates that overlap a known form stay with that form.  All of it runs as
 built-in expressions.
 
 Null and empty texts have no spans.  Repeated rows each have their spans (and
-count each in the histograms).  An empty table gives an empty result.
+count each in the histograms).  Spans that begin together come in the order of
+KINDS.  Time is linear in texts and spans, also for very long texts.  Of the
+input's columns only the id and the text are read.  An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -65,7 +68,7 @@ def _as(spans: Column, kind: str) -> Column:
 def known(text: Column) -> Column:
     """array<struct<s, k, e, kind, m>>: the known forms."""
     assign = F.filter(spans_of(text, ASSIGN), lambda x: F.length(F.regexp_extract(x["m"], ASSIGN, 2)) >= 6)
-    return F.concat(_as(assign, "assign"), _as(spans_of(text, ACCESS), "access"), _as(spans_of(text, HEX), "hex"))
+    return F.concat(_as(assign, "assign"), _as(spans_of(text, ACCESS, "AKIA"), "access"), _as(spans_of(text, HEX), "hex"))
 
 
 def normal_tail(z: Column) -> Column:

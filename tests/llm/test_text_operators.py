@@ -120,6 +120,22 @@ def test_disclosing_terms_of_few_documents(spark):
     assert "Quorbin" not in out[300] and "Quorbin" not in out[0] and "Wexlify" in out[300] and "Wexlify" in out[105]
 
 
+def test_many_spans_in_one_text(spark):
+    """200,000 addresses in one text: time is linear in them."""
+    import time
+
+    n = 200_000
+    parts = [f"user{k}@mail{k % 7}.example.com" for k in range(n)]
+    df = spark.createDataFrame([(1, " ".join(parts) + " end")], "doc_id long, text string")
+    began = time.time()
+    found = pii.known(F.col("text"))
+    row = df.select(F.size(found).alias("n"), F.element_at(found, -1)["e"].alias("e"), pii.sanitise(F.col("text"), found).alias("clean")).first()
+    assert row["n"] == n and row["e"] == len(" ".join(parts)) and row["clean"] == " ".join(["<EMAIL>"] * n) + " end"
+    assert df.select(F.size(pii.contexts(F.col("text"), found))).first()[0] == n
+    assert df.select(F.size(secrets.known(F.col("text")))).first()[0] == 0
+    assert time.time() - began < 90
+
+
 def test_sanitise_overlaps(spark):
     df = spark.createDataFrame([("1.2.3.4@mail.example.com x",)], "_text string")
     out = df.withColumn("clean", pii.sanitise(F.col("_text"), pii.known(F.col("_text")))).first()
