@@ -15,8 +15,9 @@ TOKENIZERS: dict[str, str | None] = {"byte_bpe_50k.json": None, "piece_bpe_32k.m
 
 #: URL rules: host, path, action.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
-#: Listed canonical URLs that the filter blocks where no rule decides: hosts with all their paths.
-URL_LIST = [("spam-farm.example.org", ""), ("adult-x.example.net", "")]
+#: Listed canonical URLs that the filter blocks where no rule decides: hosts with all
+#: their paths.  A stand-in for a published list of hosts, which would be a table.
+URL_LIST = [(f"{name}.example.{zone}", "") for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for zone in ("com", "net", "org")]
 
 TOXIC_FROM = 0.3
 
@@ -87,8 +88,8 @@ def op7_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(h, p, a, 1) for h, p, a in URL_RULES] + [(h, p, "block", 0) for h, p in URL_LIST]
-    rules = spark.createDataFrame(rows, "host string, path string, action string, priority int")
+    rows = [(h, p, a, 1, False) for h, p, a in URL_RULES] + [(h, p, "block", 0, True) for h, p in URL_LIST]
+    rules = spark.createDataFrame(rows, "host string, path string, action string, priority int, canonical boolean")
     judged = urls.judge(table(spark, sf_dir, "pages"), rules)
     return judged.select("page_id", "host", "path", F.when(F.col("priority") == 1, F.col("rule")).alias("rule"), F.coalesce("action", F.lit("allow")).alias("verdict"))
 
@@ -115,7 +116,8 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_secret_scan, op2_token_store, op3_personal_data, op4_mix_sources, op5_quality_rules, op6_jaccard_join, op7_ogg_media, op8_url_filter, op9_sentence_pieces, op10_toxicity)}
 
 
-_LISTED = ", ".join(f"('{h}', '{p}', '{a}', 1)" for h, p, a in URL_RULES) + ", " + ", ".join(f"('{h}', '{p}', 'block', 0)" for h, p in URL_LIST)
+_LISTED = ", ".join(f"('{h}', '{p}', '{a}', 1)" for h, p, a in URL_RULES)
+_BLOCKED = ", ".join(f"('{h}', '{p}')" for h, p in URL_LIST)
 
 
 def oracle_sql() -> dict[str, str]:
@@ -126,11 +128,20 @@ WITH cut AS (
          translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path
   FROM pages),
-rules(h, p, action, priority) AS (VALUES {_LISTED}),
+rules(h, p, action) AS (VALUES {_LISTED}),
+blocked(h, p) AS (VALUES {_BLOCKED}),
+plain AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', '', 's'), ':[0-9]*$', ''), '\.+$', '') AS chost,
+         CASE WHEN path = '' THEN '/' ELSE regexp_replace(path, '/+', '/', 'g') END AS cpath
+  FROM cut),
 met AS (
-  SELECT page_id, host, path, priority, action, h || p AS rule,
-         row_number() OVER (PARTITION BY page_id, host, path ORDER BY priority DESC NULLS LAST, length(h || p) DESC) AS k
-  FROM cut LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
-SELECT page_id, host, path, CASE WHEN priority = 1 THEN rule END AS rule, coalesce(action, 'allow') AS verdict
-FROM met WHERE k = 1""",
+  SELECT page_id, host, path, 1 AS priority, action, h || p AS rule FROM plain JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+  UNION ALL
+  SELECT page_id, host, path, 0, 'block', h || p FROM plain JOIN blocked ON host <> '' AND (chost = h OR ends_with(chost, '.' || h)) AND starts_with(cpath, p)
+  UNION ALL
+  SELECT page_id, host, path, -1, 'allow', NULL FROM plain),
+best AS (
+  SELECT *, row_number() OVER (PARTITION BY page_id, host, path ORDER BY priority DESC, length(rule) DESC) AS k FROM met)
+SELECT page_id, host, path, CASE WHEN priority = 1 THEN rule END AS rule, action AS verdict
+FROM best WHERE k = 1""",
     }

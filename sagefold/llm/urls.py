@@ -11,7 +11,10 @@ is bounded; a list beyond that makes more false positives for the join and
 changes no result.
 
 Null URLs and those without ``://`` have empty host and path and fit nothing.
-Repeated rows each get their verdict.  An empty list allows everything.
+Repeated rows each get their verdict; of equal entries the smallest action counts.
+Very long URLs give a key for each label of their host and listed length.  An
+empty list allows everything, an empty table gives an empty result.  Of the
+pages' columns only the id and the URL are read.
 """
 
 from __future__ import annotations
@@ -34,28 +37,52 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def _label(host: str, path: str) -> Column:
-    return F.concat(F.col(host), F.col(path))
+def canonical_host(host: Column) -> Column:
+    """Without user, port and final dots: what a list of hosts means by a host."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(host, "(?s)^.*@", ""), ":[0-9]*$", ""), r"\.+$", "")
+
+
+def canonical_path(path: Column) -> Column:
+    """Slashes in a row are one; an empty path is the root's."""
+    return F.when(path == "", "/").otherwise(F.regexp_replace(path, "/+", "/"))
+
+
+#: Entries up to which the list is broadcast in the exact join (some 20 MB); beyond, both sides are shuffled.
+MOST_BROADCAST = 200_000
 
 
 def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(id, host, path, rule, action, priority) of every row; the last three are null where nothing listed fits.
 
-    ``rules``: (host, path, action, priority), hosts in lower case; the highest
-    priority wins, then the longest; of equal ones the smallest action counts.
+    ``rules``: (host, path, action, priority, canonical), hosts in lower case; the
+    highest priority wins, then the longest; of equal ones the smallest action
+    counts.  Entries with ``canonical`` fit the canonical host and path, others the
+    URL's as they stand.
     """
-    listed = rules.groupBy("host", "path", "priority").agg(F.min("action").alias("action")).select(_label("host", "path").alias("rule"), "action", "priority", F.concat_ws("\n", "host", "path").alias("key"), F.length("path").alias("path_length"))
+    form = F.when(F.col("canonical"), "c").otherwise("r")
+    listed = rules.groupBy("host", "path", "priority", "canonical").agg(F.min("action").alias("action"))
+    listed = listed.select(F.concat("host", "path").alias("rule"), "action", "priority", F.concat_ws("\n", form, "host", "path").alias("key"), F.length("path").alias("path_length"))
     # Lengths of URL paths are few, whatever the list's size.
     lengths = sorted(r[0] for r in listed.select("path_length").distinct().collect())
-    blocks = bloom.block_count(listed.count())
+    many = listed.count()
+    blocks = bloom.block_count(many)
     at = pages.select(F.col(f"`{id_col}`").alias("id"), host_of(F.col(f"`{url_col}`")).alias("host"), path_of(F.col(f"`{url_col}`")).alias("path"))
-    labels = F.split("host", r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    fitting = F.filter(F.array(*(F.lit(n) for n in lengths)).cast("array<int>"), lambda n: n <= F.length("path"))
-    keys = F.flatten(F.transform(F.col("suffixes"), lambda h: F.transform(fitting, lambda n: F.concat_ws("\n", h, F.col("path").substr(F.lit(1), n)))))
-    distinct = at.select("host", "path").filter(F.col("host") != "").distinct().withColumn("suffixes", suffixes)
-    candidates = distinct.select("host", "path", F.explode(keys).alias("key"))
+
+    def keys(kind: str, host: Column, path: Column) -> Column:
+        labels = F.split(host, r"\.", -1)
+        suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+        fitting = F.filter(F.array(*(F.lit(n) for n in lengths)).cast("array<int>"), lambda n: n <= F.length(path))
+        return F.flatten(F.transform(suffixes, lambda h: F.transform(fitting, lambda n: F.concat_ws("\n", F.lit(kind), h, path.substr(F.lit(1), n)))))
+
+    host, path = F.col("host"), F.col("path")
+    both = F.array_union(keys("r", host, path), keys("c", F.col("_host"), F.col("_path")))
+    # URLs without a host fit nothing: they are many at times and would meet in one task
+    hosted = at.filter(host != "")
+    distinct = hosted.select("host", "path").distinct().withColumns({"_host": canonical_host(host), "_path": canonical_path(path)})
+    candidates = distinct.select("host", "path", F.explode(both).alias("key"))
     passed = bloom.passing(candidates, F.col("key"), bloom.build(listed, F.col("key"), blocks), blocks)
-    hits = passed.select("host", "path", "key").join(listed, "key")
+    hits = passed.select("host", "path", "key").join(F.broadcast(listed) if many <= MOST_BROADCAST else listed, "key")
     best = hits.groupBy("host", "path").agg(F.max(F.struct("priority", F.length("rule").alias("n"), "rule", "action")).alias("best"))
-    return at.join(best, ["host", "path"], "left").select(F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.col("best.action").alias("action"), F.col("best.priority").alias("priority"))
+    columns = [F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.col("best.action").alias("action"), F.col("best.priority").alias("priority")]
+    none = at.filter(host == "").withColumn("best", F.lit(None).cast(best.schema["best"].dataType))
+    return hosted.join(best, ["host", "path"], "left").select(columns).unionByName(none.select(columns))

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -79,14 +80,16 @@ def urls_wanted(rows):
     out = []
     for i, u in rows:
         host, path = brute.url(u)
-        fits = [(p, len(h + q), h + q, a) for h, q, a, p in [(*r, 1) for r in queries.URL_RULES] + [(h, q, "block", 0) for h, q in queries.URL_LIST] if (host == h or host.endswith("." + h)) and path.startswith(q)]
+        plain = re.sub(r"\.+\Z", "", re.sub(r":[0-9]*\Z", "", host.rpartition("@")[2]))
+        fits = [(1, len(h + q), h + q, a) for h, q, a in queries.URL_RULES if (host == h or host.endswith("." + h)) and path.startswith(q)]
+        fits += [(0, len(h + q), h + q, "block") for h, q in queries.URL_LIST if (plain == h or plain.endswith("." + h)) and re.sub("/+", "/", path or "/").startswith(q)]
         best = max(fits, default=None)
         out.append((i, host, path, best[2] if best and best[0] else None, best[3] if best else "allow"))
     return sorted(out, key=str)
 
 
 def test_urls(spark, tmp_path):
-    some = ["http://www.example.com/en/x?y", "https://A.B.Example.COM/en/", "http://example.net/es/1#z", "ftp://x.net/fr", "no scheme", None, "", "://", "http://com/", "http://com", "x://y://com/", "http://notexample.com/en/", "http://user@a.com:80/p", "http://ADULT-X.example.net/de/", "http://spam-farm.example.org", "http://İ.com/", "a\n://b.net/es/"]
+    some = ["http://www.example.com/en/x?y", "https://A.B.Example.COM/en/", "http://example.net/es/1#z", "ftp://x.net/fr", "no scheme", None, "", "://", "http://com/", "http://com", "x://y://com/", "http://notexample.com/en/", "http://user@a.com:80/p", "http://ADULT-X.example.net/de/", "http://spam-farm.example.org", "http://İ.com/", "a\n://b.net/es/", "http://me@spam-farm.example.net:8080/a//b", "http://x.CASINO-win.example.org./", "http://free-bets.example.com.evil.net/de/", "http://notadult-x.example.net/", "http://h.com/" + "a/" * 20_000]
     rows = list(enumerate(some)) + [(0, some[0]), (None, some[2])]
     path = str(tmp_path)
     spark.createDataFrame([(i, u, "x", "y") for i, u in rows], "page_id long, url string, html string, host string").write.parquet(f"{path}/pages.parquet")
@@ -107,10 +110,27 @@ def test_bloom_passes_all_listed_and_few_others(spark):
 
 def test_url_filter_without_rules(spark):
     pages = spark.createDataFrame([(1, "http://a.com/")], "page_id long, url string")
-    none = spark.createDataFrame([], "host string, path string, action string, priority int")
+    none = spark.createDataFrame([], "host string, path string, action string, priority int, canonical boolean")
     assert urls.judge(pages, none).first()["action"] is None
 
 
+def test_url_filter_with_a_long_list(spark):
+    """50,000 listed URLs with paths, against sets; no pages give no rows."""
+    rng = random.Random(7)
+    listed = {(f"h{rng.randrange(40_000)}.org", rng.choice(["", "/a/", "/b/c"])) for _ in range(50_000)}
+    rules = spark.createDataFrame([(h, p, "block", 0, True) for h, p in listed], "host string, path string, action string, priority int, canonical boolean")
+    rows = [(k, f"http://{rng.choice(['', 'www.', 'u@'])}h{rng.randrange(60_000)}.org{rng.choice(['', ':80'])}{rng.choice(['', '/', '//a//x', '/b/c', '/z'])}") for k in range(4000)]
+    got = {r["page_id"] for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), rules).filter("action = 'block'").collect()}
+    want = set()
+    for k, u in rows:
+        host, path = brute.url(u)
+        host, path = host.rpartition("@")[2].split(":")[0].removeprefix("www."), re.sub("/+", "/", path or "/")
+        if any((host, p) in listed and path.startswith(p) for p in ("", "/a/", "/b/c")):
+            want.add(k)
+    assert got == want and 0 < len(want) < 4000
+    assert urls.judge(spark.createDataFrame([], "page_id long, url string"), rules).count() == 0
+
+
 def test_targets():
     assert mixing.targets({"b": 100, "a": 100, None: 100}) == pytest.approx({"a": 50, "b": 100, None: 150})
     got = mixing.targets({"a": 1000, "b": 10, "c": 10})
