@@ -115,7 +115,6 @@ def rules() -> dict[str, Column]:
     repeats = _share("n_repeat_words", "n_words")
     upper = _share("n_upper", "n_letters")
     letters = _share("n_letters", "word_chars")
-    distinct = _share("n_distinct", "n_words")
     ended = _share("n_ended_lines", "n_lines")
     marks = _share("n_marks", "n_words")
     return {
@@ -126,7 +125,8 @@ def rules() -> dict[str, Column]:
         "repeats": _vote(repeats > 0.35),
         "capitals": _vote(upper > 0.4),
         "letters": _vote(letters < 0.75),
-        "variety": _vote((distinct < 0.12) & (n < 2000)),
+        # a text has about its length to some power of distinct words
+        "variety": _vote((F.col("n_distinct") > 0) & (F.log(F.col("n_distinct").cast("double")) < 0.6 * F.log(n.cast("double")))),
         "endings": _vote((ended < 0.1) & (F.col("n_lines") > 5)),
         "marks": _vote(marks > 0.3),
         "prose": _vote(F.lit(False), (symbols < 0.03) & (letters > 0.85) & (upper < 0.2) & (ended > 0.5) & (marks < 0.05)),
