@@ -235,9 +235,13 @@ def non_empty(xs: Column) -> Column:
     return F.filter(F.transform(F.coalesce(xs, F.array().cast("array<string>")), trim_ws), lambda x: x != "")
 
 
+#: Characters around a quote that are not its own.
+QUOTE_EDGES = "\"'.… "
+
+
 def contains_quote(body: Column, quote: Column) -> Column:
     """Whether the quote, without its outer quotation marks, stands in the body but for case and white space."""
-    q = normalize(F.btrim(quote, F.lit("\"'.… ")))
+    q = normalize(F.btrim(quote, F.lit(QUOTE_EDGES)))
     return F.coalesce((q != "") & F.contains(normalize(body), q), F.lit(False))
 
 

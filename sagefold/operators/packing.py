@@ -19,10 +19,11 @@ from pyspark.sql import types as T
 from ..workspace import ship
 
 
-def greedy_bins(df: DataFrame, groups: Sequence[str], order: Sequence[str | Column], limits: dict[str, float], out: str = "bin") -> DataFrame:
+def greedy_bins(df: DataFrame, groups: Sequence[str], order: Sequence[str | Column], limits: dict[str, float | str], out: str = "bin") -> DataFrame:
     """``df`` with ``out``, the number from 1 of each row's bin in its group.
 
-    ``limits``: the columns whose sums are limited, with their limits.
+    ``limits``: the columns whose sums are limited, with their limits, which are
+    numbers or columns that hold a row's.  Sizes that are null count as 0.
     """
     ship(df.sparkSession)
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.LongType())])
@@ -31,12 +32,13 @@ def greedy_bins(df: DataFrame, groups: Sequence[str], order: Sequence[str | Colu
         group, number, filled, sums = object(), 0, False, [0] * len(limits)
         for batch in batches:
             keys = zip(*(batch.column(g).to_pylist() for g in groups), strict=True) if groups else [()] * batch.num_rows
-            sizes = zip(*(batch.column(c).to_pylist() for c in limits), strict=True)
+            sizes = zip(*([x or 0 for x in batch.column(c).to_pylist()] for c in limits), strict=True)
+            most_of = zip(*(batch.column(m).to_pylist() if isinstance(m, str) else [m] * batch.num_rows for m in limits.values()), strict=True)
             bins = []
-            for key, size in zip(keys, sizes, strict=True):
+            for key, size, row_most in zip(keys, sizes, most_of, strict=True):
                 if key != group:
                     group, number, filled, sums = key, 1, False, [0] * len(limits)
-                if filled and any(s + t > most for s, t, most in zip(sums, size, limits.values(), strict=True)):
+                if filled and any(s + t > most for s, t, most in zip(sums, size, row_most, strict=True)):
                     number, sums = number + 1, [0] * len(limits)
                 sums = [s + t for s, t in zip(sums, size, strict=True)]
                 filled = True

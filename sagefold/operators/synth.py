@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -14,8 +15,9 @@ from pyspark.sql import types as T
 from ..functions import text as X
 from ..schemas import EXTRACT_OUT, SCORE_OUT
 from ..vocabulary import CATEGORIES, KINDS, OUTCOMES, TIERS
-from ..workspace import ship
+from ..workspace import ship, stored
 from .evidence import apply_floors, clamp
+from .packing import greedy_bins
 
 GROUP_TOKENS, FOLD_LEAST, SCORE_GROUP = 120_000, 20_000, 150
 LEVELS, STOP_SHARE = 5, 0.85
@@ -72,6 +74,41 @@ def parse(requests: DataFrame, results: DataFrame, refs: DataFrame) -> tuple[Dat
     return kept, total
 
 
+#: Words within a quote by which texts are looked up, and quotes at most that have too few of them.
+KEY_WORDS, MOST_SHORT = 4, 10_000
+
+
+def quoted(documents: DataFrame, quotes: DataFrame, id_col: str, quote_id: str) -> DataFrame:
+    """(id, quote id) of the texts that hold a quote, as ``contains_quote`` has it.
+
+    A containment has no equal keys.  A quote's first and last word may be parts
+    of longer ones in the text, those between them stand there as they are: the
+    first four of them are a key, by which texts are looked up; the containment
+    is checked on those.  Texts do not travel with their keys.  Quotes with fewer
+    words within are looked for in every text; they must be few.
+    """
+    tidy = X.normalize(F.btrim(F.col("quote"), F.lit(X.QUOTE_EDGES)))
+    q = quotes.select(quote_id, "quote", tidy.alias("_tidy")).filter(F.col("_tidy") != "").withColumn("_w", F.split("_tidy", " "))
+    long = q.filter(F.size("_w") >= KEY_WORDS + 2).withColumn("_key", F.xxhash64(F.array_join(F.slice("_w", 2, KEY_WORDS), " ")))
+    texts = documents.filter("text is not null").select(id_col, "text")
+    words = texts.select(id_col, F.split(X.normalize(F.col("text")), " ").alias("_w")).filter(F.size("_w") >= KEY_WORDS)
+    each = F.transform(F.sequence(F.lit(1), F.size("_w") - KEY_WORDS + 1), lambda k: F.xxhash64(F.array_join(F.slice("_w", k, F.lit(KEY_WORDS)), " ")))
+    keys = words.select(id_col, F.explode(F.array_distinct(each)).alias("_key"))
+    candidates = keys.join(long.select(quote_id, "_key"), "_key").select(id_col, quote_id).distinct()
+    met = candidates.join(texts, id_col).join(long.select(quote_id, "quote"), quote_id).filter(X.contains_quote(F.col("text"), F.col("quote"))).select(id_col, quote_id)
+    short = q.filter(F.size("_w") < KEY_WORDS + 2).select(quote_id, "_tidy")
+    few = short.limit(MOST_SHORT + 1).collect()
+    if len(few) > MOST_SHORT:
+        raise ValueError(f"more than {MOST_SHORT} quotes of fewer than {KEY_WORDS + 2} words")
+    if few:
+        kind = short.schema[quote_id].dataType.simpleString()
+        listed = F.array(*(F.struct(F.lit(r[0]).cast(kind).alias("i"), F.lit(r[1]).alias("t")) for r in few))
+        body = texts.withColumn("_n", X.normalize(F.col("text")))
+        found = body.select(id_col, F.explode(F.filter(listed, lambda x: F.contains(F.col("_n"), x["t"]))).alias("x")).select(id_col, F.col("x.i").alias(quote_id))
+        met = met.unionByName(found)
+    return met.distinct()
+
+
 # ---- applying merges and folds ------------------------------------------------
 
 
@@ -80,8 +117,42 @@ def _local(prefix: str, value, n: int) -> int | None:
     return int(found[1]) - 1 if found and 1 <= int(found[1]) <= n else None
 
 
-def _joined(*lists) -> list[str]:
-    return list(dict.fromkeys(x for some in lists for x in some))
+#: Texts and lists of an item that a model's rule gives anew, by the model's names.
+TEXTS = {"kind": "kind", "title": "title", "statement": "rule", "rationale": "rationale", "applies_when": "applies_when", "bad_example": "bad_example", "good_example": "good_example"}
+LISTS = ("paths", "languages")
+ITEM = f"struct<{','.join(f'{c}:string' for c in TEXTS)},{','.join(f'{c}:array<string>' for c in LISTS)},members:array<string>,opposing:array<string>>"
+
+
+class Ownership:
+    """Which of a group's items are taken; claims change it in the order in which they come."""
+
+    def __init__(self, n: int, taken: set[int]):
+        self.n, self.taken = n, taken
+
+    def named(self, ids) -> list[int]:
+        """The items that a model's ids name, as often as they do."""
+        return [k for k in (_local("i", x, self.n) for x in ids or []) if k is not None]
+
+    def claim(self, rule: dict) -> tuple[list[int], list[int]]:
+        """(members, opponents) of a rule: nothing for one whose members all belong to others."""
+        members = sorted(set(self.named(rule.get("members"))) - self.taken)
+        against = [k for k in self.named(rule.get("opposing")) if k not in members] if members else []
+        self.taken.update(members, against)
+        return members, against
+
+    def discard(self, ids) -> int:
+        gone = set(self.named(ids)) - self.taken
+        self.taken |= gone
+        return len(gone)
+
+
+def _merged(rule: dict, members: list[dict], against: list[dict]) -> dict:
+    """A model's rule as an item, with all that stood behind its members and opponents."""
+    texts = {own: str(rule.get(theirs) or "") for own, theirs in TEXTS.items()}
+    lists = {c: [str(x) for x in rule.get(c) or []] for c in LISTS}
+    support, opposing = (dict.fromkeys(chain.from_iterable(m[c] for m in members)) for c in ("members", "opposing"))
+    opposing.update(dict.fromkeys(chain.from_iterable(x["members"] for x in against)))
+    return {**texts, "applies_when": texts["applies_when"].strip(), **lists, "members": list(support), "opposing": list(opposing)}
 
 
 def claim(items: list[dict], output: dict, used: list[bool]) -> tuple[list[dict], int, int]:
@@ -92,38 +163,13 @@ def claim(items: list[dict], output: dict, used: list[bool]) -> tuple[list[dict]
     ones; what nothing claims stays as it is.  The order of claims matters, so this
     goes through a group in order; a group is one request, of bounded size.
     """
-    n, out, discarded = len(items), [], 0
-    text = lambda r, k: str(r.get(k) or "")
-    for r in output.get("rules") or []:
-        listed = [_local("i", x, n) for x in r.get("members") or []]
-        members = sorted({k for k in listed if k is not None and not used[k]})
-        if not members:
-            continue
-        for k in members:
-            used[k] = True
-        against = [k for k in (_local("i", x, n) for x in r.get("opposing") or []) if k is not None and k not in members]
-        for k in against:
-            used[k] = True
-        out.append(
-            {
-                "kind": text(r, "kind"),
-                "title": text(r, "title"),
-                "statement": text(r, "rule"),
-                "applies_when": text(r, "applies_when").strip(),
-                "members": _joined(*(items[k]["members"] for k in members)),
-                "opposing": _joined(*(items[k]["opposing"] for k in members), *(items[k]["members"] for k in against)),
-            }
-        )
-    for x in output.get("discarded") or []:
-        k = _local("i", x, n)
-        if k is not None and not used[k]:
-            used[k] = True
-            discarded += 1
-    left = [items[k] for k in range(n) if not used[k]]
-    return out + left, discarded, len(left)
-
-
-ITEM = "struct<kind:string,title:string,statement:string,applies_when:string,members:array<string>,opposing:array<string>>"
+    state = Ownership(len(items), {k for k, u in enumerate(used) if u})
+    rulings = [(rule, *state.claim(rule)) for rule in output.get("rules") or []]
+    discarded = state.discard(output.get("discarded"))
+    made = [_merged(rule, [items[k] for k in members], [items[k] for k in against]) for rule, members, against in rulings if members]
+    used[:] = [k in state.taken for k in range(len(items))]
+    left = [x for x, u in zip(items, used, strict=True) if not u]
+    return made + left, discarded, len(left)
 
 
 def _per_row(df: DataFrame, keep: list[str], take: list[str], schema: str, work: Callable[..., tuple]) -> DataFrame:
@@ -205,23 +251,19 @@ def consolidate(items: DataFrame, complete: Callable[[DataFrame], DataFrame], to
     """Merge (category, pos, item) level by level until one group is left, or most items remain.
 
     ``complete`` turns (category, bin, items) into (category, bin, items, output); its
-    answers are stored, so that a plan that runs again asks nothing again.
+    answers are stored, so that a plan that runs again asks nothing again.  Each
+    level is written as a table and read from there.
     """
-    from .packing import greedy_bins
-
-    spark, level = items.sparkSession, 0
-    while level < LEVELS:
-        level += 1
+    for _ in range(LEVELS):
         sized = items.withColumn("tokens", X.est_tokens(render_item()))
         packed = greedy_bins(sized, ["category"], ["pos"], {"tokens": tokens})
-        grouped = packed.groupBy("category", "bin").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "item"))), lambda x: x["item"]).alias("items"))
+        grouped = stored(packed.groupBy("category", "bin").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "item"))), lambda x: x["item"]).alias("items")), "groups")
         alone = grouped.filter(F.size("items") == 1).select("category", "bin", "items")
         merged = apply_merge(complete(grouped.filter(F.size("items") > 1)), ["category", "bin"]).select("category", "bin", "items")
         made = alone.unionByName(merged).select("category", "bin", F.posexplode("items").alias("k", "item"))
-        made = made.select("category", (F.col("bin") * (1 << 20) + F.col("k")).alias("pos"), "item").persist()
-        before, after, groups = items.count(), made.count(), grouped.groupBy("category").count().agg(F.max("count")).first()[0]
-        items = spark.createDataFrame(made.collect(), made.schema) if after < 10_000 else made
-        if (groups or 0) <= 1 or after >= STOP_SHARE * before:
+        items = stored(made.select("category", (F.col("bin") * (1 << 20) + F.col("k")).alias("pos"), "item"), "level")
+        facts = grouped.groupBy("category").agg(F.count(F.lit(1)).alias("groups"), F.sum(F.size("items")).alias("before")).agg(F.max("groups").alias("groups"), F.sum("before").alias("before")).first()
+        if (facts["groups"] or 0) <= 1 or items.count() >= STOP_SHARE * facts["before"]:
             break
     return items
 

@@ -86,12 +86,12 @@ def latest_pr_versions(spark: SparkSession, d: str) -> Q:
 
 
 def incremental_refresh(spark: SparkSession, d: str) -> Q:
-    """What a refresh reads beyond a quarter of the feed, with the mark before and after."""
+    """What a refresh reads again and anew after one up to the end of 1997, with the mark before and after."""
     feed = S.feed(spark, d)
-    seen = feed.filter("read_order = 1 and pr % 4 <> 0")
+    seen = feed.filter("updated_at < TIMESTAMP '1998-01-01 00:00:00'")
     before = ledger.watermark(seen).withColumnRenamed("watermark", "before")
     after = ledger.watermark(feed).withColumnRenamed("watermark", "after")
-    met = feed.join(F.broadcast(before.join(after)), F.col("updated_at") >= F.col("before") - F.expr("INTERVAL 30 DAYS"))
+    met = ledger.refresh(feed.join(F.broadcast(before.join(after))), F.col("before"))
     return met.select("pr", "state", "updated_at", "read_order", "before", "after")
 
 
@@ -215,7 +215,7 @@ def unsent_requests(spark: SparkSession, d: str) -> Q:
 
 def _extraction(spark: SparkSession, d: str) -> tuple[Q, Q, Q]:
     """Orders as requests; their lines as comments, cited well and badly."""
-    ev = S.evidence(spark, d).filter("part % 4 = 0")
+    ev = S.evidence(spark, d)
     refs = ev.withColumn("_n", F.row_number().over(Window.partitionBy("ref").orderBy("rule_id", *S.EVIDENCE_ORDER))).filter("_n = 1")
     body = F.concat(F.lit("Please  keep "), F.col("author"), F.lit(" in\n"), F.col("repo"), F.lit(" as it is"))
     refs = refs.select("ref", "pr", "url", "author", "role", "date", body.alias("body"), "thumbs_up")
@@ -250,22 +250,10 @@ def extract_parse(spark: SparkSession, d: str) -> Q:
 
 
 def quote_verification(spark: SparkSession, d: str) -> Q:
-    """Benchmark passages as quotes of documents.
-
-    A theta join (containment) has no equal keys; candidates come from the quote's
-    first five words as a key, the containment is then checked on those alone.
-    """
-    words = lambda c: F.split(X.normalize(F.col(c)), " ")
-    q = S.table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote")).withColumn("w", words("quote")).filter(F.size("w") >= 5)
-    q = q.withColumn("key", F.xxhash64(F.array_join(F.slice("w", 2, 4), " ")))
-    docs = S.table(spark, d, "documents").filter("text is not null").select("doc_id", "text").withColumn("w", words("text")).filter(F.size("w") >= 4)
-    keys = docs.select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda k: F.xxhash64(F.array_join(F.slice("w", k, 4), " "))))).alias("key"))
-    met = keys.join(q.select("item_id", "quote", "key"), "key").filter(X.contains_quote(F.col("text"), F.col("quote")))
-    return met.select("doc_id", "item_id").distinct()
-
-
-def _items(n: int) -> list[dict]:
-    return [{"kind": "do", "title": f"t{k}", "statement": f"s{k}", "applies_when": "", "members": [f"c{k}", f"d{k % 3}"], "opposing": []} for k in range(n)]
+    """Benchmark passages as quotes of documents."""
+    quotes = S.table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
+    documents = S.table(spark, d, "documents").select("doc_id", "text")
+    return synth.quoted(documents, quotes, "doc_id", "item_id")
 
 
 def _merge_groups(spark: SparkSession, d: str) -> Q:
@@ -273,11 +261,13 @@ def _merge_groups(spark: SparkSession, d: str) -> Q:
     p = S.table(spark, d, "part").select("p_brand", "p_partkey", "p_size", "p_name")
     n = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
     p = p.withColumn("n", n).withColumn("i", F.concat(F.lit("[i"), n.cast("string"), F.lit("]")))
-    text = lambda c: F.col(c).alias(c)
-    item = F.struct(F.lit("do").alias("kind"), F.col("p_name").alias("title"), F.lit("s").alias("statement"), F.lit("").alias("applies_when"), F.array(F.concat(F.lit("c"), F.col("p_partkey").cast("string"))).alias("members"), F.array().cast("array<string>").alias("opposing"))
-    del text
+    none = F.array().cast("array<string>")
+    item = F.struct(
+        F.lit("do").alias("kind"), F.col("p_name").alias("title"), F.lit("s").alias("statement"), F.lit("own reason").alias("rationale"), F.lit("").alias("applies_when"), F.lit("").alias("bad_example"), F.lit("").alias("good_example"),
+        none.alias("paths"), none.alias("languages"), F.array(F.concat(F.lit("c"), F.col("p_partkey").cast("string"))).alias("members"), none.alias("opposing"),
+    )
     ids = lambda cond: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("n", "i")))), lambda x: x["i"])
-    rules = [F.struct(F.lit(f"rule {j}").alias("title"), F.lit("do").alias("kind"), F.lit("text").alias("rule"), ids((F.col("p_size") % 8 == j) | (F.col("p_size") % 8 == j - 1)).alias("members"), ids(F.col("p_size") % 8 == 6 + j).alias("opposing")) for j in range(2)]
+    rules = [F.struct(F.lit(f"rule {j}").alias("title"), F.lit("do").alias("kind"), F.lit("text").alias("rule"), F.lit(f"reason {j}").alias("rationale"), F.lit("worse").alias("bad_example"), F.lit("better").alias("good_example"), F.array(F.lit(f"src/{j}/"), F.lit("lib/")).alias("paths"), F.array(F.lit("go")).alias("languages"), ids((F.col("p_size") % 8 == j) | (F.col("p_size") % 8 == j - 1)).alias("members"), ids(F.col("p_size") % 8 == 6 + j).alias("opposing")) for j in range(2)]
     lost = F.array(F.concat(F.lit("i"), F.max("n").cast("string"), F.lit("x")), F.lit("i0"), F.lit("nothing"))
     return p.groupBy("p_brand").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", item.alias("item")))), lambda x: x["item"]).alias("items"), F.to_json(F.struct(F.array(*rules).alias("rules"), lost.alias("discarded"))).alias("output"))
 
@@ -285,7 +275,7 @@ def _merge_groups(spark: SparkSession, d: str) -> Q:
 def merge_apply(spark: SparkSession, d: str) -> Q:
     applied = synth.apply_merge(_merge_groups(spark, d), ["p_brand"])
     e = applied.select("p_brand", "discarded", "unassigned", F.posexplode("items").alias("pos", "x"))
-    return e.select("p_brand", F.col("x.title").alias("title"), F.size("x.members").alias("n_members"), F.array_join(F.array_sort("x.members"), ",").alias("members"), F.array_join(F.array_sort("x.opposing"), ",").alias("opposing"), "discarded", "unassigned")
+    return e.select("p_brand", F.col("x.title").alias("title"), F.size("x.members").alias("n_members"), F.array_join(F.array_sort("x.members"), ",").alias("members"), F.array_join(F.array_sort("x.opposing"), ",").alias("opposing"), F.col("x.rationale").alias("rationale"), F.concat_ws("/", "x.bad_example", "x.good_example").alias("examples"), F.array_join("x.paths", ",").alias("paths"), F.array_join("x.languages", ",").alias("languages"), "discarded", "unassigned")
 
 
 def fold_apply(spark: SparkSession, d: str) -> Q:
@@ -329,7 +319,7 @@ def cost_estimate(spark: SparkSession, d: str) -> Q:
 def generation_status(spark: SparkSession, d: str) -> Q:
     r, results, _ = _requests(spark, d)
     gens = r.select("gen").distinct().select("gen", F.when(F.col("gen") % 4 == 0, "open").when(F.col("gen") % 4 == 1, "extracted").otherwise("submitted").alias("status"), (F.col("gen") % 3).alias("attempts"))
-    return ledger.generation_status(gens, r.select("gen", "id").filter("k % 3 <> 0 or gen % 2 = 0"), results)
+    return ledger.generation_status(gens, r.select("gen", "id"), results)
 
 
 def repo_url_parse(spark: SparkSession, d: str) -> Q:

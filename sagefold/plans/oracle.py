@@ -212,9 +212,8 @@ METRICS_LINE = f"""concat_ws(' · ', {_plural("distinct_prs", "PR")}, {_plural("
     CASE WHEN first_seen IS NOT NULL THEN CASE WHEN {_month("first_seen")} = {_month("last_seen")} THEN concat('seen ', {_month("first_seen")}) ELSE concat('seen ', {_month("first_seen")}, ' to ', {_month("last_seen")}) END END)"""
 
 EXTRACT = f"""
-ev4 AS (SELECT * FROM ev WHERE part % 4 = 0),
 refs AS (
-  SELECT ref, pr, concat('Please  keep ', author, E' in\\n', repo, ' as it is') AS body, author, repo FROM ev4
+  SELECT ref, pr, concat('Please  keep ', author, E' in\\n', repo, ' as it is') AS body, author, repo FROM ev
   QUALIFY row_number() OVER (PARTITION BY ref ORDER BY rule_id, pr, author, role, date, outcome, thumbs_up, repo) = 1),
 good AS (SELECT DISTINCT pr FROM refs WHERE pr % 17 <> 0 AND pr % 19 <> 0 AND pr % 13 <> 0),
 cand AS (
@@ -260,8 +259,8 @@ UNION ALL SELECT concat('rules-', category, '.md'), string_agg(id, ',' ORDER BY
 UNION ALL SELECT concat('rules-scoped-', {slug("replace(key, E'\\n', ' ')")}, '.md'), string_agg(id, ',' ORDER BY rank) FROM exported WHERE key <> '' GROUP BY key""",
         "rule_signature": f"{BASE} SELECT rule_id, concat(coalesce(string_agg(concat(url, '|', outcome, '|', role), ',' ORDER BY concat(url, '|', outcome, '|', role)) FILTER (side = 'support'), ''), '#opp=', count(DISTINCT url) FILTER (side = 'opposing')) AS signature FROM ev GROUP BY rule_id",
         "latest_pr_versions": f"WITH {FEED} SELECT pr, state, updated_at, read_order FROM feed QUALIFY row_number() OVER (PARTITION BY pr ORDER BY updated_at DESC, read_order) = 1",
-        "incremental_refresh": f"""WITH {FEED}, b AS (SELECT max(updated_at) AS before FROM feed WHERE read_order = 1 AND pr % 4 <> 0), a AS (SELECT max(updated_at) AS after FROM feed)
-SELECT pr, state, updated_at, read_order, before, after FROM feed, b, a WHERE updated_at >= before - INTERVAL 30 DAYS""",
+        "incremental_refresh": f"""WITH {FEED}, b AS (SELECT max(updated_at) AS before FROM feed WHERE updated_at < TIMESTAMP '1998-01-01 00:00:00'), a AS (SELECT max(updated_at) AS after FROM feed)
+SELECT pr, state, updated_at, read_order, before, after FROM feed, b, a WHERE updated_at >= before""",
         "dirty_units": """WITH u AS (SELECT doc_id AS pr, source AS repo, substr(sha256(concat(doc_id, E'\\n', coalesce(text, ''))), 1, 16) AS hash FROM documents)
 SELECT pr, repo, hash FROM u WHERE NOT (pr % 3 = 0 AND pr % 2 <> 0)""",
         "latest_generation_evidence": f"WITH {GENS} SELECT gen, pr, hash, n FROM gens QUALIFY gen = max(gen) OVER (PARTITION BY pr)",
@@ -308,9 +307,9 @@ gone AS (SELECT DISTINCT p.p_brand, p.p_partkey FROM p JOIN a USING (p_brand, p_
 leftover AS (SELECT p.* FROM p WHERE p_partkey NOT IN (SELECT p_partkey FROM used) AND p_partkey NOT IN (SELECT p_partkey FROM gone)),
 counts AS (SELECT b.p_brand, CAST((SELECT count(*) FROM gone WHERE gone.p_brand = b.p_brand) AS INTEGER) AS discarded, CAST((SELECT count(*) FROM leftover l WHERE l.p_brand = b.p_brand) AS INTEGER) AS unassigned FROM (SELECT DISTINCT p_brand FROM p) b),
 made AS (
-  SELECT p_brand, concat('rule ', j) AS title, list_transform(mem, lambda x: concat('c', x)) AS members, list_transform(coalesce(opp, []), lambda x: concat('c', x)) AS opposing FROM alive
-  UNION ALL SELECT p_brand, p_name, [concat('c', p_partkey)], [] FROM leftover)
-SELECT p_brand, title, CAST(len(members) AS INTEGER) AS n_members, array_to_string(list_sort(members), ',') AS members, array_to_string(list_sort(opposing), ',') AS opposing, discarded, unassigned FROM made JOIN counts USING (p_brand)""",
+  SELECT p_brand, concat('rule ', j) AS title, list_transform(mem, lambda x: concat('c', x)) AS members, list_transform(coalesce(opp, []), lambda x: concat('c', x)) AS opposing, concat('reason ', j) AS rationale, 'worse/better' AS examples, concat('src/', j, '/,lib/') AS paths, 'go' AS languages FROM alive
+  UNION ALL SELECT p_brand, p_name, [concat('c', p_partkey)], [], 'own reason', '/', '', '' FROM leftover)
+SELECT p_brand, title, CAST(len(members) AS INTEGER) AS n_members, array_to_string(list_sort(members), ',') AS members, array_to_string(list_sort(opposing), ',') AS opposing, rationale, examples, paths, languages, discarded, unassigned FROM made JOIN counts USING (p_brand)""",
         "fold_apply": f"WITH {GROUPS} SELECT p_brand, CAST(CASE WHEN p_size % 5 BETWEEN 1 AND 3 THEN p_size % 5 ELSE 2 END AS INTEGER) AS rule, p_size % 6 = 0 AS opposing, concat('c', p_partkey) AS id FROM p",
         "score_apply": f"""{BASE},
 n0 AS (SELECT * EXCLUDE (applies_when, tier, confidence), tier AS own, confidence AS conf, applies_when AS cond, part % 10 <> 9 AS selected, part % 6 = 0 AS once, part % 6 <> 0 AND part % 11 = 0 AS never FROM rules),
@@ -328,7 +327,7 @@ u AS (SELECT * FROM e UNION ALL SELECT '*', model, CAST(sum(requests) AS BIGINT)
 SELECT repo, model, requests, input_tokens, output_tokens, known_price, round(extract_usd, 6) AS extract_usd, round(synth_usd, 6) AS synth_usd, round(extract_usd + synth_usd, 6) AS total_usd, known_price AND extract_usd + synth_usd <= 0.5 AS approved FROM u""",
         "generation_status": f"""WITH {REQUESTS},
 g AS (SELECT DISTINCT gen, CASE gen % 4 WHEN 0 THEN 'open' WHEN 1 THEN 'extracted' ELSE 'submitted' END AS status, gen % 3 AS attempts FROM req),
-s AS (SELECT gen, count(*) AS requests, count(*) FILTER (res.id IS NULL) AS missing, count(*) FILTER (error <> '') AS failed FROM req LEFT JOIN res USING (id) WHERE k % 3 <> 0 OR gen % 2 = 0 GROUP BY gen)
+s AS (SELECT gen, count(*) AS requests, count(*) FILTER (res.id IS NULL) AS missing, count(*) FILTER (error <> '') AS failed FROM req LEFT JOIN res USING (id) GROUP BY gen)
 SELECT gen, status, coalesce(requests, 0) AS requests, coalesce(missing, 0) AS missing, coalesce(failed, 0) AS failed,
   CASE WHEN status = 'submitted' AND coalesce(missing, 0) = 0 AND (coalesce(failed, 0) = 0 OR attempts + 1 >= 3) THEN 'extracted' ELSE status END AS next_status FROM g LEFT JOIN s USING (gen)""",
         "repo_url_parse": f"WITH {URLS} SELECT id, CASE WHEN ok THEN lower(host) END AS host, CASE WHEN ok THEN owner END AS owner, CASE WHEN ok THEN name END AS name, CASE WHEN ok THEN lower(concat_ws('/', host, owner, name)) ELSE '' END AS key FROM fine",

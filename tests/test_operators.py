@@ -125,10 +125,10 @@ def raw(spark, prs):
 
 @pytest.fixture(scope="module")
 def scenario(spark):
-    thread = {"id": "t", "path": "internal/storage/a.go", "line": 7, "isResolved": True, "isOutdated": False, "commentsTotal": 2, "comments": [comment("rev", "Use a <pr> context here", "MEMBER", diffHunk="\n".join(f"l{k}" for k in range(20)), thumbsUp=2), comment("dev", "Done."), comment("DEV", "but why not x?")]}
+    thread = {"id": "t", "path": "lib/cache/a.go", "line": 7, "isResolved": True, "isOutdated": False, "commentsTotal": 2, "comments": [comment("rev", "Use a <pr> context here", "MEMBER", diffHunk="\n".join(f"l{k}" for k in range(20)), thumbsUp=2), comment("dev", "Done."), comment("DEV", "but why not x?")]}
     quiet = {**thread, "path": "b", "comments": [comment("rev", "LGTM")]}
-    main = pr(812, NOW, files=["internal/storage/a.go", "cmd/app/main.go", "README"], threads=[thread, quiet], reviews=[{**comment("rev", "", "OWNER"), "state": "APPROVED", "submittedAt": NOW}, {**comment("rev", "never", "OWNER"), "state": "PENDING", "submittedAt": NOW}], comments=[comment("ci", "coverage 80", kind="Bot"), comment("guest", "What about y?")])
-    stale = pr(812, NOW - dt.timedelta(hours=1), comments=[comment("guest", "old text")])
+    main = pr(431, NOW, files=["lib/cache/a.go", "cmd/app/main.go", "README"], threads=[thread, quiet], reviews=[{**comment("rev", "", "OWNER"), "state": "APPROVED", "submittedAt": NOW}, {**comment("rev", "never", "OWNER"), "state": "PENDING", "submittedAt": NOW}], comments=[comment("ci", "coverage 80", kind="Bot"), comment("guest", "What about y?")])
+    stale = pr(431, NOW - dt.timedelta(hours=1), comments=[comment("guest", "old text")])
     lonely = pr(900, NOW, comments=[comment("dev", "talking to myself")])
     return raw(spark, [stale, main, lonely])
 
@@ -137,8 +137,8 @@ def test_digest_scenario(scenario):
     prs = digest.latest(scenario, ["number"])
     units, comments = digest.units(prs)
     u = units.collect()
-    assert [x["pr"] for x in u] == [812] and u[0]["areas"] == ["internal/storage", "cmd/app", "/"] and u[0]["state"] == "merged" and u[0]["description"] == "about"
-    assert [r["ref"] for r in comments.orderBy("seq").collect()] == ["812.1", "812.2", "812.3"]
+    assert [x["pr"] for x in u] == [431] and u[0]["areas"] == ["lib/cache", "cmd/app", "/"] and u[0]["state"] == "merged" and u[0]["description"] == "about"
+    assert [r["ref"] for r in comments.orderBy("seq").collect()] == ["431.1", "431.2", "431.3"]
     assert 'outcome="resolved,author-acknowledged"' in u[0]["blocks"][0] and "‹pr> context" in u[0]["blocks"][0] and "l19" in u[0]["blocks"][0] and "l7\n" not in u[0]["blocks"][0]
     assert "@rev 2026-01-01 +2:" in u[0]["blocks"][0] and len(u[0]["blocks"]) == 2
     s = digest.stats(prs, digest.classify(digest.comments(prs))).first().asDict()
@@ -182,7 +182,7 @@ def test_parse_scenario(spark):
 
 
 def items(n):
-    return [{"kind": "do", "title": f"t{k}", "statement": "s", "applies_when": "", "members": [f"c{k}"], "opposing": []} for k in range(1, n + 1)]
+    return [{**dict.fromkeys(synth.TEXTS, ""), "kind": "do", "title": f"t{k}", "statement": "s", "rationale": "why", "paths": [], "languages": ["go"], "members": [f"c{k}"], "opposing": []} for k in range(1, n + 1)]
 
 
 def test_claims():
@@ -191,6 +191,27 @@ def test_claims():
     assert (gone, left) == (1, 1)
 
 
+def test_merged_rules_keep_what_the_model_says():
+    rule = {"title": "T", "kind": "avoid", "rule": "R", "rationale": "because", "applies_when": " in loops ", "bad_example": "x", "good_example": "y", "paths": ["a/"], "languages": ["go", "c"], "members": ["i1"]}
+    out, _, _ = synth.claim(items(2), {"rules": [rule]}, [False] * 2)
+    want = {"title": "T", "kind": "avoid", "statement": "R", "rationale": "because", "applies_when": "in loops", "bad_example": "x", "good_example": "y", "paths": ["a/"], "languages": ["go", "c"], "members": ["c1"], "opposing": []}
+    assert out == [want, items(2)[1]] and list(out[0]) == [f.split(":")[0] for f in synth.ITEM.removeprefix("struct<").removesuffix(">").split(",")]
+
+
+def test_quotes_of_any_length(spark):
+    """Against containment in every text: long quotes, short ones, ends within longer words."""
+    rng = random.Random(9)
+    vocabulary = ["alpha", "beta", "gamma", "delta", "eps", "zeta"]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(40))) for _ in range(60)] + [None, "", '"quoted  Alpha\nbeta"']
+    quotes = [t[a : a + rng.randrange(1, 60)] for t in texts[:40] if t for a in [rng.randrange(len(t))]] + ["", ' "ALPHA  beta". ', "nowhere to be found in any of the texts", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "d int, text string")
+    asked = spark.createDataFrame(list(enumerate(quotes)), "q int, quote string")
+    got = sorted(tuple(r) for r in synth.quoted(docs, asked, "d", "q").select("d", "q").collect())
+    plain = lambda x: " ".join(x.lower().split())
+    want = sorted((i, k) for i, t in enumerate(texts) if t is not None for k, q in enumerate(quotes) if q is not None and (x := plain(q.strip("\"'.… "))) and x in plain(t))
+    assert got == want and len(want) > 100
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.lists(st.integers(0, 9)), st.lists(st.integers(0, 9))), max_size=5), st.lists(st.integers(0, 9)))
 def test_nothing_is_forgotten(listed, dropped):

@@ -66,7 +66,7 @@ def test_pages_and_digest_command(spark, scenario, tmp_path):  # noqa: F811
     assert pages(tmp_path / "raw", scenario) == 1 and sinks.append_page(tmp_path / "raw", 1, []) == 1
     assert raw.load_pages(spark, str(tmp_path / "raw")).count() == 3
     cli.main(["digest", str(tmp_path / "raw"), str(tmp_path / "out")])
-    assert spark.read.parquet(str(tmp_path / "out/chunks")).first()["prs"] == [812]
+    assert spark.read.parquet(str(tmp_path / "out/chunks")).first()["prs"] == [431]
     with pytest.raises(SystemExit):
         cli.parser().parse_args(["digest", "a", "b", "--chunk-tokens", "10"])
 
