@@ -1,17 +1,19 @@
 """Model calls as a stored table.
 
 Requests are rows named by their content, results a table that only grows.
-Plans never call a model: a run collects what no good result answers (a bounded
-number), asks, and appends the answers.  The state is written before anything is
-sent.
+Plans never call a model: a run goes through what no good result answers, asks in
+rounds, and appends each round's answers.  Batches are noted with their requests
+when they are sent, and collected by this run or a later one.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import time
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
+from itertools import islice
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,14 +76,20 @@ def latest_results(results: DataFrame) -> DataFrame:
     return results.groupBy("id").agg(F.max_by(F.struct(*[c for c in results.columns if c != "id"]), F.struct(good.cast("int").alias("g"), "completed_at")).alias("r")).select("id", "r.*")
 
 
+def _save(spark: SparkSession, answers: list[tuple], path: str) -> None:
+    fields = RESULT.removesuffix(", completed_at timestamp")
+    spark.createDataFrame(answers, fields).coalesce(1).withColumn("completed_at", F.current_timestamp()).write.mode("append").parquet(path)
+
+
 def run_sync(requests: DataFrame, completer: Completer, path: str, model: str = "offline", concurrency: int = CONCURRENCY) -> DataFrame:
-    """Answer what is unanswered, a few calls at a time, and return the results of all requests.
+    """Answer what is unanswered, ``concurrency`` calls at a time, and return the results of all requests.
 
-    Failed ones are stored too and asked again by the next run.
+    The answers of each round are stored before the next begins, so that a crash
+    loses those of one round at most; the driver holds one round.  Failed ones are
+    stored too and asked again by the next run.
     """
     spark = requests.sparkSession
     none = spark.createDataFrame([], "id string")
-    todo = [r.asDict() for r in ledger.unsent(requests, latest_results(stored(spark, path)), none).collect()]
 
     def ask(r: dict) -> tuple:
         try:
@@ -90,11 +98,79 @@ def run_sync(requests: DataFrame, completer: Completer, path: str, model: str =
         except Exception as error:  # noqa: BLE001  one failed call must not lose the others
             return r["id"], None, model, "error", 0, 0, 0, str(error) or type(error).__name__
 
-    if todo:
-        with ThreadPoolExecutor(concurrency) as pool:
-            answers = list(pool.map(ask, todo))
-        fields = RESULT.removesuffix(", completed_at timestamp")
-        spark.createDataFrame(answers, fields).withColumn("completed_at", F.current_timestamp()).write.mode("append").parquet(path)
+    todo = (r.asDict() for r in ledger.unsent(requests, latest_results(stored(spark, path)), none).dropDuplicates(["id"]).toLocalIterator())
+    with ThreadPoolExecutor(concurrency) as pool:
+        while some := list(islice(todo, concurrency)):
+            _save(spark, list(pool.map(ask, some)), path)
+    return latest_results(stored(spark, path)).join(requests.select("id"), "id", "left_semi")
+
+
+BATCH = "batch string, ids array<string>, state string, at timestamp"
+
+
+class Batcher(Protocol):
+    """What answers many requests later."""
+
+    def submit(self, requests: list[dict]) -> str: ...
+
+    def done(self, batch: str) -> bool: ...
+
+    def collect(self, batch: str) -> list[dict]:
+        """id, text, stop_reason, input_tokens, output_tokens of each request, in any order."""
+
+
+def in_flight(spark: SparkSession, path: str) -> DataFrame:
+    """(batch, ids) of the batches whose last state is ``sent``."""
+    last = _states(spark, path).groupBy("batch").agg(F.max_by(F.struct("ids", "state"), "at").alias("x"))
+    return last.filter("x.state = 'sent'").select("batch", "x.ids")
+
+
+def _states(spark: SparkSession, path: str) -> DataFrame:
+    try:
+        return spark.read.schema(BATCH).parquet(f"{path}-batches")
+    except Exception as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], BATCH)
+
+
+def _mark(spark: SparkSession, path: str, batch: str, ids: list[str], state: str) -> None:
+    spark.createDataFrame([(batch, ids, state)], "batch string, ids array<string>, state string").withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{path}-batches")
+
+
+def submit(requests: DataFrame, batcher: Batcher, path: str) -> int:
+    """Send what has no good result and is in no batch; the number of requests sent.  A batch is noted as soon as it has a name."""
+    spark = requests.sparkSession
+    flying = in_flight(spark, path).select(F.explode("ids").alias("id"))
+    todo = ledger.unsent(requests, latest_results(stored(spark, path)), flying).dropDuplicates(["id"])
+    sizes = ((r["id"], r["n"]) for r in todo.select("id", (F.octet_length("prompt") + F.octet_length("system") + F.octet_length("schema")).alias("n")).orderBy("id").toLocalIterator())
+    sent = 0
+    for ids in batches(sizes):
+        rows = [r.asDict() for r in todo.filter(F.col("id").isin(ids)).collect()]
+        _mark(spark, path, batcher.submit(rows), ids, "sent")
+        sent += len(ids)
+    return sent
+
+
+def collect(spark: SparkSession, batcher: Batcher, path: str, model: str = "offline") -> int:
+    """Store the answers of the batches that are done; the number of batches still out.  What a batch did not answer is stored as failed."""
+    left = 0
+    for r in in_flight(spark, path).collect():
+        if not batcher.done(r["batch"]):
+            left += 1
+            continue
+        found = {a["id"]: (a["id"], a["text"], model, a["stop_reason"], a["input_tokens"], a["output_tokens"], 0, error_of(a["stop_reason"])) for a in batcher.collect(r["batch"])}
+        _save(spark, [found.get(k) or (k, None, model, "error", 0, 0, 0, "no answer in the batch") for k in r["ids"]], path)
+        _mark(spark, path, r["batch"], r["ids"], "collected")
+    return left
+
+
+def run_batch(requests: DataFrame, batcher: Batcher, path: str, model: str = "offline", deadline: float = 86_400, wait: float = 30) -> DataFrame:
+    """Submit, poll until all batches are done or ``deadline`` seconds are over, collect; a later run goes on where this one stopped."""
+    spark, began = requests.sparkSession, time.monotonic()
+    submit(requests, batcher, path)
+    while collect(spark, batcher, path, model) and time.monotonic() - began < deadline:
+        time.sleep(wait)
     return latest_results(stored(spark, path)).join(requests.select("id"), "id", "left_semi")
 
 

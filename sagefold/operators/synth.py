@@ -228,7 +228,8 @@ def folded_rules(rules: DataFrame, applied: DataFrame, known_ids: DataFrame) ->
     ``rules``: (category, no, rule_id, members, opposing); ``applied``: of ``apply_fold`` by category and group.
     Rules without members left are dropped.
     """
-    got = applied.select("category", F.posexplode("given").alias("_p", "g")).select("category", F.col("g.rule").alias("no"), F.col("g.opposing").alias("against"), F.col("g.ids").alias("ids"), "_p")
+    group = F.col("bin") if "bin" in applied.columns else F.lit(0)
+    got = applied.select("category", group.alias("_b"), F.posexplode("given").alias("_i", "g")).select("category", F.col("g.rule").alias("no"), F.col("g.opposing").alias("against"), F.col("g.ids").alias("ids"), F.struct("_b", "_i").alias("_p"))
     lists = got.groupBy("category", "no").agg(*(F.flatten(F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("_p", "ids")))), lambda x: x["ids"])).alias(c) for c, cond in (("more", ~F.col("against")), ("more_against", F.col("against")))))
     none = F.array().cast("array<string>")
     met = rules.join(lists, ["category", "no"], "left")
@@ -268,14 +269,36 @@ def consolidate(items: DataFrame, complete: Callable[[DataFrame], DataFrame], to
     return items
 
 
-def render_item(n: Column | None = None) -> Column:
-    """One line of a prompt for ``item``."""
-    i = lambda c: F.col(f"item.{c}")
+def render_item(n: Column | None = None, item: Column | None = None) -> Column:
+    """One line of a prompt for an item, the column ``item`` unless given."""
+    item = F.col("item") if item is None else item
+    i = lambda c: item[c]
     when = F.when(F.coalesce(i("applies_when"), F.lit("")) != "", F.concat(F.lit("when: "), X.one_line(i("applies_when"))))
     head = F.concat(F.lit("[i"), (n if n is not None else F.lit(0)).cast("string"), F.lit("] ("), F.coalesce(i("kind"), F.lit("")), F.lit(") "), X.one_line(F.coalesce(i("title"), F.lit(""))), F.lit(": "), X.one_line(F.coalesce(i("statement"), F.lit(""))))
     return F.concat(F.concat_ws(" | ", head, when, F.concat(F.lit("refs: "), F.size(i("members")).cast("string"))), F.lit("\n"))
 
 
+def fold_into(rules: DataFrame, items: DataFrame, ask_fold: Callable[[DataFrame], DataFrame], ask_merge: Callable[[DataFrame], DataFrame], known_ids: DataFrame, tokens: int = GROUP_TOKENS) -> tuple[DataFrame, DataFrame]:
+    """(rules with their new members, new items): findings go to existing rules by category, the rest become rules.
+
+    ``rules``: (category, no, rule_id, members, opposing, line); ``items``: (category,
+    pos, item).  A group of findings has what the existing rules leave of
+    ``tokens``, FOLD_LEAST at least.  Categories without rules are merged.  Rules
+    whose candidates are all gone are dropped.
+    """
+    listed = rules.groupBy("category").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "line"))), lambda x: x["line"]), "").alias("existing"), F.count(F.lit(1)).cast("int").alias("n_rules"))
+    listed = stored(listed.withColumn("most", F.greatest(F.lit(tokens) - X.est_tokens(F.col("existing")), F.lit(FOLD_LEAST))), "existing")
+    sized = items.join(listed.select("category", "most"), "category").withColumn("tokens", X.est_tokens(render_item()))
+    packed = greedy_bins(sized, ["category"], ["pos"], {"tokens": "most"})
+    grouped = packed.groupBy("category", "bin").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "item"))), lambda x: x["item"]).alias("items"))
+    groups = stored(grouped.join(listed.drop("most"), "category"), "fold-groups")
+    applied = stored(apply_fold(ask_fold(groups), ["category", "bin"]), "folded")
+    made = applied.select("category", (F.col("bin") * (1 << 20)).alias("_b"), F.posexplode("created").alias("k", "item")).select("category", (F.col("_b") + F.col("k")).alias("pos"), "item")
+    bare = items.join(listed.select("category"), "category", "left_anti").select("category", "pos", "item")
+    made = made.unionByName(consolidate(bare, ask_merge, tokens)) if not bare.isEmpty() else made
+    return folded_rules(rules, applied, known_ids), made
+
+
 # ---- scoring --------------------------------------------------------------------
 
 
