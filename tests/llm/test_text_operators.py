@@ -120,6 +120,25 @@ def test_disclosing_terms_of_few_documents(spark):
     assert "Quorbin" not in out[300] and "Quorbin" not in out[0] and "Wexlify" in out[300] and "Wexlify" in out[105]
 
 
+def test_terms_of_a_common_passage_disclose_nothing(spark):
+    """Documents that differ but share a passage around an address, with edits, have it from there."""
+    import random
+
+    from .conftest import words
+
+    rng = random.Random(12)
+    passage = f"{words(rng, 30)} rare Grumbold writes from grum@example.com every day {words(rng, 30)}".split()
+    rows = []
+    for k in range(9):
+        edited = list(passage)
+        for _ in range(3):
+            edited[rng.choice([*range(28), *range(40, len(edited))])] = f"edit{rng.randrange(10**6)}"
+        rows.append((k, f"{words(rng, 150)} {' '.join(edited)} {words(rng, 150)}", None, None))
+    rows += [(100 + k, words(rng, 50), None, None) for k in range(40)] + [(300, "Grumbold alone", None, None)]
+    out = {r["doc_id"]: r["spans"] for r in pii.scan(frame(spark, rows)).collect()}
+    assert out[300] == [] and all([s["kind"] for s in out[k]] == ["email"] for k in range(9))
+
+
 def test_many_spans_in_one_text(spark):
     """200,000 addresses in one text: time is linear in them."""
     import time
