@@ -45,7 +45,15 @@ def passing(rows: DataFrame, key: Column, table: DataFrame, blocks: int) -> Data
 
     The filter has MOST_BLOCKS rows of five longs at most and is broadcast.
     """
-    columns = rows.columns
-    probed = rows.withColumns({"_block": block_of(key, blocks), "_bits": bits_of(key)}).join(F.broadcast(table), "_block")
-    there = reduce(Column.__and__, [F.col(f"_w{k}").bitwiseAND(F.col("_bits")[k]) == F.col("_bits")[k] for k in range(4)])
-    return probed.filter(there).select(columns)
+    return rows.withColumns({"_block": block_of(key, blocks), "_bits": bits_of(key)}).join(F.broadcast(table), "_block").filter(_there()).select(rows.columns)
+
+
+def _there() -> Column:
+    return reduce(Column.__and__, [F.col(f"_w{k}").bitwiseAND(F.col("_bits")[k]) == F.col("_bits")[k] for k in range(4)])
+
+
+def split(rows: DataFrame, key: Column, table: DataFrame, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """(the rows whose key may be in the filter, the others, whose key is not)."""
+    probed = rows.withColumns({"_block": block_of(key, blocks), "_bits": bits_of(key)}).join(F.broadcast(table), "_block", "left")
+    there = F.coalesce(_there(), F.lit(False))
+    return probed.filter(there).select(rows.columns), probed.filter(~there).select(rows.columns)
