@@ -24,7 +24,10 @@ One row for each document: its class, which is the class's smallest id, and its
 number of links, that is of other documents with a similarity of the threshold
 or more.
 
-Texts of fewer than five words have one shingle of all their words.  Texts
+Classes and links do not depend on the order of rows; of equal ids the smallest
+hash of a text stands for a class.  Null ids come last.  Of the input's columns
+only the id and the text are read.  Texts of fewer than five words have one
+shingle of all their words.  Texts
 without words (null too) are copies of each other.  Repeated rows are copies.
 An empty table gives an empty result.
 """

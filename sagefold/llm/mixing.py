@@ -15,7 +15,9 @@ task holds a whole source.  All of it runs as built-in expressions, in integers:
 reruns agree.
 
 Null and empty texts have size 0 and take no part: 0 words are taken.  Repeated
-rows are rows of their own.  An empty table gives an empty result.
+rows are rows of their own.  Documents with equal hashes lie in the order of their ids and
+sizes.  A very long text reaches over several blocks.  Of the input's columns only
+the id, the text and the source are read.  An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ Where a model lacks these properties (normalisation, pieces across markers),
 whole texts go to the library.
 
 Null and empty texts have no ids and decode to the empty text.  Repeated rows
-are encoded each by itself.
+are encoded each by itself.  Very long texts are cut like others; a word without
+an end goes to the library as it is.  Of the input's columns only the id and the
+text are read.  An empty table gives an empty result.
 """
 
 from __future__ import annotations

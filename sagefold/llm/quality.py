@@ -8,7 +8,9 @@ document's posterior probability of being good then takes the place of passing
 every rule.
 
 Null and empty texts have no words: counts are 0, every rule abstains but the
-one on length.  An empty table gives an empty result.
+one on length.  Repeated rows each have their counts and count each in the
+patterns.  Very long texts are counted whole, by one task each.  Of the input's
+columns only the id and the text are read.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
