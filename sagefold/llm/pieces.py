@@ -1,45 +1,63 @@
 """SentencePiece encoding and decoding through a table of distinct chunks.
 
 Where no piece of the model crosses a whitespace marker, a text can be cut
-before each run of markers and each marked word segmented by itself.  A task
-keeps a table of the distinct marked words that it has met: each is segmented
-once and its ids are joined back by position.  The table is bounded; when it is
-full it starts anew, which costs time and never changes an id.
+before each run of markers, each distinct marked word segmented once and its ids
+joined back by position.  Distinct words grow with the corpus, so the table has
+two parts:
 
-Where a model lacks these properties (normalisation, pieces across markers),
-whole texts go to the library.
+* the head, words that are frequent somewhere, as many as ``HEAD_BYTES`` allow: a
+  broadcast of bounded size.  Texts become numbers of head words, with holes;
+* the tail, all other words: each hole goes to the task of its word, where a word
+  is segmented once for all its holes, and the ids go to the hole's document.  No
+  word of the tail has ``OFTEN`` occurrences in any block of words, unless the head
+  is full of more frequent ones.
+
+Which words are in the head changes time, never an id.  Where a model lacks these
+properties (normalisation, pieces across markers), whole texts go to the library.
 
 Null and empty texts have no ids and decode to the empty text.  Repeated rows
 are encoded each by itself.  Very long texts are cut like others; a word without
-an end goes to the library as it is.  Of the input's columns only the id and the
-text are read.  An empty table gives an empty result.
+an end is a word of the table.  Ties between equally frequent words go by the
+word.  Of the input's columns only the id and the text are read.  An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import map_columns, texts
+from .common import Scratch, map_columns, small_batches, texts
 
 MARK = "▁"
-#: Distinct marked words that a task's table holds at most (about 100 MB).
-TABLE_SIZE = 300_000
+#: Bytes of the head: those of its words and WORD_BYTES for each.
+HEAD_BYTES, WORD_BYTES = 24 << 20, 40
+#: Occurrences in a block of words from which a word may be in the head.
+OFTEN = 4
+#: Bytes of texts that are cut at once, and distinct words that are counted together.
+TEXT_BYTES, BLOCK_WORDS = 8 << 20, 600_000
+#: Rows of holes and documents that are put together at once.
+JOINED_ROWS = 50_000
 
 
-class ChunkTable:
-    """Segments texts as the library does, each distinct marked word once."""
+class Chunks:
+    """Cuts texts into marked words, without their first marker, and segments words as the library does."""
 
-    def __init__(self, model: str, size: int = TABLE_SIZE):
+    def __init__(self, model: str):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=model)
-        self.size = size
         spec = sentencepiece_model_pb2.ModelProto()
         spec.ParseFromString(self.library.serialized_model_proto())
         rules = spec.normalizer_spec
@@ -56,45 +74,242 @@ class ChunkTable:
             and spec.trainer_spec.model_type == spec.trainer_spec.BPE
             and MARK in {p.piece for p in spec.pieces}
         )
-        # a marker alone; the library gives no ids for an empty text
-        self.alone = {"": np.array([self.library.piece_to_id(MARK)], "<i4").tobytes()}
-        self.table = dict(self.alone)
 
     @staticmethod
-    def chunks(text: str) -> list[str]:
-        """The text's marked words without their first marker, which the library puts before any text."""
-        if not text:
-            return []
-        marked = text.replace(" ", MARK)
-        if MARK + MARK in marked or marked[0] == MARK or marked[-1] == MARK:
-            return [x[1:] for x in re.findall(f"{MARK}+[^{MARK}]*", MARK + marked)]
-        return marked.split(MARK)
-
-    def encode(self, batch: list[str]) -> list[np.ndarray]:
-        if not self.separable:
-            return [np.array(x, "<i4") for x in self.library.encode(batch, num_threads=1)]
-        cut = [self.chunks(x) for x in batch]
-        if len(self.table) > self.size:
-            self.table = dict(self.alone)
-        table = self.table
-        missing = list({c for words in cut for c in words if c not in table})
-        for at in range(0, len(missing), 20_000):
-            some = missing[at : at + 20_000]
-            for word, ids in zip(some, self.library.encode(some, num_threads=1), strict=True):
-                table[word] = np.array(ids, "<i4").tobytes()
-        return [np.frombuffer(b"".join([table[c] for c in words]), "<i4") for words in cut]
-
-
-def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", table_size: int = TABLE_SIZE) -> DataFrame:
+    def of(text: str) -> list[str]:
+        """The words of one text; the library puts a marker before any text but the empty one."""
+        return [x[1:] for x in re.findall(f"{MARK}+[^{MARK}]*", MARK + text.replace(" ", MARK))] if text else []
+
+    @classmethod
+    def of_all(cls, column: pa.Array) -> pa.Array:
+        """A list of words for each text; null counts as empty."""
+        column = column.cast(pa.large_string()).fill_null("")
+        plain = pc.split_pattern(column, " ")
+        odd = pc.or_(pc.or_(pc.match_substring(column, "  "), pc.match_substring(column, MARK)), pc.or_(pc.starts_with(column, " "), pc.ends_with(column, " ")))
+        odd = np.flatnonzero(pc.or_(odd, pc.equal(column, "")).to_numpy(zero_copy_only=False))
+        if not len(odd):
+            return plain
+        cut = pa.array([cls.of(column[i].as_py()) for i in odd.tolist()], plain.type)
+        places = np.arange(len(column))
+        places[odd] = len(column) + np.arange(len(odd))
+        return pa.concat_arrays([plain, cut]).take(pa.array(places))
+
+    def segment(self, words: list[str]) -> pa.Array:
+        """The ids of each word, as little-endian 32-bit integers in a binary."""
+        made = [ids if word else [self.library.piece_to_id(MARK)] for word, ids in zip(words, self.library.encode(words, num_threads=1), strict=True)]
+        ends = np.cumsum([0, *map(len, made)], dtype=np.int64)
+        ids = np.fromiter(itertools.chain.from_iterable(made), "<i4", int(ends[-1]))
+        return pa.Array.from_buffers(pa.large_binary(), len(made), [None, pa.py_buffer(4 * ends), pa.py_buffer(ids)]).cast(pa.binary())
+
+
+def _grouped(batches, size: int = TEXT_BYTES):
+    """Batches put together until they have ``size`` bytes."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.nbytes
+        if n >= size:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _column(table: pa.Table, name: str) -> pa.Array:
+    found = table.column(name)
+    return found.chunk(0) if found.num_chunks == 1 else pa.concat_arrays(found.chunks) if found.num_chunks else pa.array([], found.type)
+
+
+def _frequent(batches):
+    """(_word, _n) of words that occur OFTEN in a block of words."""
+
+    def often(held: list[pa.Table]) -> pa.RecordBatch:
+        total = pa.concat_tables(held).group_by("_word").aggregate([("_n", "sum")]).rename_columns(["_word", "_n"])
+        total = total.filter(pc.greater_equal(total.column("_n"), OFTEN))
+        return pa.RecordBatch.from_arrays([_column(total, "_word").cast(pa.string()), _column(total, "_n")], names=["_word", "_n"])
+
+    held, n = [], 0
+    for table in _grouped(batches):
+        found = pc.value_counts(Chunks.of_all(_column(table, "_text")).flatten())
+        held.append(pa.table({"_word": found.field("values"), "_n": found.field("counts")}))
+        n += len(found)
+        if n >= BLOCK_WORDS:
+            yield often(held)
+            held, n = [], 0
+    if held:
+        yield often(held)
+
+
+def _head(docs: DataFrame, model: str, scratch: Scratch, head_bytes: int) -> tuple[pa.Array, pa.Array]:
+    """The most frequent words, as many as ``head_bytes`` allow, and their ids."""
+    counts = docs.select("_text").mapInArrow(_frequent, "_word string, _n long").groupBy("_word").agg(F.sum("_n").alias("_n"))
+    counts = scratch.store(counts.withColumn("_level", F.floor(F.log2("_n") * 8).cast("int")), "counts")
+    weights = counts.groupBy("_level").agg(F.sum(F.octet_length("_word") + WORD_BYTES).alias("w")).collect()  # 8 rows for each doubling
+    least, left = math.inf, head_bytes
+    for level, weight in sorted(weights, reverse=True):
+        left -= weight
+        if left < 0:
+            break
+        least = level
+    if least == math.inf:
+        scratch.drop(counts)
+        return pa.array([], pa.large_string()), pa.array([], pa.binary())
+
+    def segment(batches):
+        chunks = Chunks(model)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, chunks.segment(batch.column(0).to_pylist())], names=["_word", "_n", "_ids"])
+
+    head = counts.filter(F.col("_level") >= least).select("_word", "_n").mapInArrow(segment, "_word string, _n long, _ids binary").toArrow()
+    scratch.drop(counts)
+    head = head.sort_by([("_n", "descending"), ("_word", "ascending")]).combine_chunks()
+    return _column(head, "_word").cast(pa.large_string()), _column(head, "_ids").cast(pa.binary())
+
+
+def _packed(array: pa.Array, name: str) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, pa.schema([(name, array.type)])) as out:
+        out.write_batch(pa.RecordBatch.from_arrays([array], names=[name]))
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pa.Array:
+    return _column(pa.ipc.open_stream(data).read_all(), pa.ipc.open_stream(data).schema.names[0])
+
+
+def _binary(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The 32-bit integers of all binaries one behind the other, and the number in each."""
+    array = array.cast(pa.large_binary())
+    bounds = np.frombuffer(array.buffers()[1], np.int64)[array.offset : array.offset + len(array) + 1] if len(array) else np.zeros(1, np.int64)
+    body = np.frombuffer(array.buffers()[2], np.uint8)[bounds[0] : bounds[-1]] if bounds[-1] > bounds[0] else np.zeros(0, np.uint8)
+    return np.frombuffer(body.tobytes(), "<i4"), np.diff(bounds) // 4
+
+
+def _numbered(docs: DataFrame, shared) -> DataFrame:
+    """(_row, _id, _numbers, _tail): the number of each word in the head, a hole's being the head's size, and the words of the holes."""
+    id_type = docs.schema["_id"].dataType
+    schema = T.StructType([T.StructField("_row", T.LongType()), T.StructField("_id", id_type), T.StructField("_numbers", T.BinaryType()), T.StructField("_tail", T.ArrayType(T.StringType()))])
+    names = schema.names
+
+    def run(batches):
+        import zstandard
+
+        packer = zstandard.ZstdCompressor(3)
+        head = _unpacked(shared.value)
+        at = TaskContext.get().partitionId() << 40
+        for table in _grouped(batches):
+            lists = Chunks.of_all(_column(table, "_text"))
+            words = lists.flatten()
+            found = pc.index_in(words, value_set=head)
+            holes = found.is_null().to_numpy(zero_copy_only=False)
+            numbers = found.fill_null(len(head)).to_numpy().astype("<u4")
+            ends = np.cumsum(np.concatenate([[0], pc.list_value_length(lists).to_numpy()]), dtype=np.int64)
+            of = np.concatenate([[0], np.cumsum(holes)])[ends].astype("i4")
+            # bytes of one significance stand together: they pack better
+            blobs = [packer.compress(numbers[a:b].view(np.uint8).reshape(-1, 4).T.tobytes()) for a, b in itertools.pairwise(ends.tolist())]
+            tail = pa.ListArray.from_arrays(pa.array(of), words.filter(pa.array(holes)).cast(pa.string()))
+            rows = pa.array(at + np.arange(len(blobs), dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([rows, _column(table, "_id"), pa.array(blobs, pa.binary()), tail], names=names)
+            at += len(blobs)
+
+    return docs.mapInArrow(run, schema)
+
+
+def _segmented(holes: DataFrame, model: str) -> DataFrame:
+    """(_row, _k, _ids) for (_word, _row, _k): the words of a partition come sorted, each is segmented once."""
+
+    def run(batches):
+        chunks = Chunks(model)
+        last, last_ids = None, None
+        for batch in batches:
+            coded = batch.column(0).dictionary_encode()
+            words = coded.dictionary.to_pylist()
+            if not words:
+                continue
+            met = words[0] == last
+            made = chunks.segment(words[met:])
+            if met:
+                made = pa.concat_arrays([last_ids, made])
+            last, last_ids = words[-1], made[len(made) - 1 :]
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), made.take(coded.indices)], names=["_row", "_k", "_ids"])
+
+    dealt = holes.repartition("_word").sortWithinPartitions("_word")
+    return dealt.select("_word", "_row", "_k").mapInArrow(run, "_row long, _k int, _ids binary")
+
+
+def _joined(rows: DataFrame, shared, id_col: str) -> DataFrame:
+    """(id, ids) of documents, each followed by the ids of its holes in their order."""
+    id_field = rows.schema["_id"]
+    schema = T.StructType([T.StructField(id_col, id_field.dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    id_type = to_arrow_type(id_field.dataType)
+
+    def run(batches):
+        import zstandard
+
+        unpacker = zstandard.ZstdDecompressor()
+        pool, many = _binary(_unpacked(shared.value))
+        first = np.cumsum(many) - many
+
+        def whole(table: pa.Table) -> pa.RecordBatch:
+            docs = pc.less(table.column("_k"), 0)
+            mine = table.filter(docs).combine_chunks()
+            extra, sizes = _binary(_column(table.filter(pc.invert(docs)).combine_chunks(), "_ids"))
+            parts = [np.frombuffer(unpacker.decompress(x), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel() for x in _column(mine, "_numbers").to_pylist()]
+            numbers = np.concatenate([np.zeros(0, np.int64), *parts]).astype(np.int64)
+            holes = np.flatnonzero(numbers == len(many))
+            if len(holes) != len(sizes):
+                raise ValueError(f"{len(sizes)} words came back for {len(holes)} holes")
+            numbers[holes] += np.arange(len(holes))
+            length = np.concatenate([many, sizes])[numbers]
+            begin = np.concatenate([first, len(pool) + np.cumsum(sizes) - sizes])[numbers]
+            stops = np.cumsum(length)
+            place = np.repeat(begin - stops + length, length) + np.arange(stops[-1] if len(stops) else 0)
+            ids = np.concatenate([pool, extra])[place].astype(np.int32)
+            ends = np.concatenate([[0], stops])[np.cumsum([0, *map(len, parts)])].astype("i4")
+            found = _column(mine, "_id").cast(id_type)
+            return pa.RecordBatch.from_arrays([found, pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], names=schema.names)
+
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            if n >= JOINED_ROWS or sum(x.nbytes for x in held) >= TEXT_BYTES:
+                table = pa.Table.from_batches(held)
+                starts = np.flatnonzero(table.column("_k").to_numpy() < 0)
+                if starts[-1] > 0:  # the last document's holes may go on
+                    yield whole(table.slice(0, starts[-1]))
+                    table = table.slice(starts[-1])
+                held, n = table.to_batches(), len(table) if starts[-1] > 0 else 0
+        if held:
+            yield whole(pa.Table.from_batches(held))
+
+    return rows.mapInArrow(run, schema)
+
+
+def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", head_bytes: int = HEAD_BYTES) -> DataFrame:
     """(id, ids array<int>) of every row, without begin or end ids."""
+    spark = docs.sparkSession
+    if not Chunks(model).separable:
+        return _by_library(docs, model, id_col, text_col)
+    small_batches(spark)
+    docs = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
+    scratch = Scratch(spark, "pieces")
+    words, ids = _head(docs, model, scratch, head_bytes)
+    shared_words, shared_ids = (spark.sparkContext.broadcast(_packed(x, "x")) for x in (words, ids))  # bounded by head_bytes
+    stored = scratch.store(_numbered(docs, shared_words), "numbered")
+    filled = _segmented(stored.select("_row", F.posexplode("_tail").alias("_k", "_word")), model)
+    texts_ = stored.select("_row", F.lit(-1).alias("_k"), "_id", "_numbers", F.lit(None).cast("binary").alias("_ids"))
+    rows = texts_.unionByName(filled, allowMissingColumns=True)
+    dealt = rows.repartition("_row").sortWithinPartitions("_row", "_k")
+    return _joined(dealt, shared_ids, id_col)
+
 
+def _by_library(docs: DataFrame, model: str, id_col: str, text_col: str) -> DataFrame:
     def make():
-        table = ChunkTable(model, table_size)
+        library = Chunks(model).library
 
         def step(column: pa.Array) -> list:
-            made = table.encode(texts(column))
-            ends = np.cumsum([0, *map(len, made)]).astype("i4")
-            return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(made) if made else np.zeros(0, "i4"), pa.int32()))]
+            return [library.encode(texts(column), num_threads=1)]
 
         return step
 

@@ -216,12 +216,15 @@ def test_ogg_checksum_and_damage():
     assert [len(p) for p in stream.packets] == [1, 150_000, 1] and stream.granule == 9 and len(pages) == 4
 
 
-def test_pieces(docs, texts):
+@pytest.mark.parametrize("head_bytes", [0, 20_000, pieces.HEAD_BYTES])
+def test_pieces(docs, texts, head_bytes):
+    """With all words in the tail, with some and with as many as may be in the head."""
     import sentencepiece
 
-    library = sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer("piece_bpe_32k.model"))
-    encoded = pieces.encode_documents(docs, queries.tokenizer("piece_bpe_32k.model"), table_size=500)
-    got = rows_of(queries.pieces_digest(encoded, queries.tokenizer("piece_bpe_32k.model")), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    model = queries.tokenizer("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=model)
+    encoded = pieces.encode_documents(docs, model, head_bytes=head_bytes)
+    got = rows_of(queries.pieces_digest(encoded, model), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
     want = []
     for i, t in texts:
         ids = library.encode(t or "")
@@ -229,6 +232,23 @@ def test_pieces(docs, texts):
     assert got == sorted(want, key=str)
 
 
+def test_pieces_of_odd_texts(spark):
+    """Markers and blanks in runs, at both ends and alone; words that stand often, long ones, ties and repeated rows."""
+    import random
+
+    import sentencepiece
+
+    model = queries.tokenizer("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=model)
+    rng = random.Random(4)
+    parts = [" ", " ", " ", "  ", pieces.MARK, pieces.MARK * 2, "\n", "\t", "\0", "\u3000", "a", "the", "the", "Word", "internationalization", "日本", "😀", "é", "x" * 3000, "<s>", "</s>", "<unk>", "<0x0A>"]
+    some = [(i, "".join(rng.choice(parts) for _ in range(rng.randrange(30)))) for i in range(600)] + [(None, None), (1, "the the"), (1, "the the"), (2, " "), (3, pieces.MARK), (4, "the " * 60_000)]
+    want = sorted(((i, library.encode(t or "")) for i, t in some), key=str)
+    for head_bytes in (0, 600, pieces.HEAD_BYTES):
+        got = pieces.encode_documents(frame(spark, [(i, t, None, None) for i, t in some]), model, head_bytes=head_bytes).collect()
+        assert sorted(((r["doc_id"], r["ids"]) for r in got), key=str) == want
+
+
 def test_token_store(spark, docs, texts, tmp_path):
     from tokenizers import Tokenizer
 
