@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding through a table of distinct chunks.
 
-Where no piece of the model crosses a whitespace marker, a text can be cut
-before each run of markers, each distinct marked word segmented once and its ids
-joined back by position.  Distinct words grow with the corpus, so the table has
+Where no piece of the model crosses a whitespace marker or holds a line feed, a
+text can be cut before each run of markers and each line feed, each distinct
+word segmented once and its ids joined back by position.  Distinct words grow with the corpus, so the table has
 two parts:
 
 * the head, words that are frequent somewhere, as many as ``HEAD_BYTES`` allow: a
@@ -51,7 +51,10 @@ JOINED_ROWS = 50_000
 
 
 class Chunks:
-    """Cuts texts into marked words, without their first marker, and segments words as the library does."""
+    """Cuts texts into words and segments words as the library does.
+
+    A word begins with a marker, which is left out, or with a line feed.
+    """
 
     def __init__(self, model: str):
         import sentencepiece
@@ -73,18 +76,22 @@ class Chunks:
             and not spec.trainer_spec.treat_whitespace_as_suffix
             and spec.trainer_spec.model_type == spec.trainer_spec.BPE
             and MARK in {p.piece for p in spec.pieces}
+            # else a line feed is one unknown piece together with others beside it
+            and spec.trainer_spec.byte_fallback
+            and not any("\n" in p.piece for p in spec.pieces)
         )
 
     @staticmethod
     def of(text: str) -> list[str]:
         """The words of one text; the library puts a marker before any text but the empty one."""
-        return [x[1:] for x in re.findall(f"{MARK}+[^{MARK}]*", MARK + text.replace(" ", MARK))] if text else []
+        found = re.findall(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*", MARK + text.replace(" ", MARK)) if text else []
+        return [x.removeprefix(MARK) for x in found]
 
     @classmethod
     def of_all(cls, column: pa.Array) -> pa.Array:
         """A list of words for each text; null counts as empty."""
         column = column.cast(pa.large_string()).fill_null("")
-        plain = pc.split_pattern(column, " ")
+        plain = pc.split_pattern(pc.replace_substring(column, "\n", " \n"), " ")
         odd = pc.or_(pc.or_(pc.match_substring(column, "  "), pc.match_substring(column, MARK)), pc.or_(pc.starts_with(column, " "), pc.ends_with(column, " ")))
         odd = np.flatnonzero(pc.or_(odd, pc.equal(column, "")).to_numpy(zero_copy_only=False))
         if not len(odd):
@@ -96,7 +103,12 @@ class Chunks:
 
     def segment(self, words: list[str]) -> pa.Array:
         """The ids of each word, as little-endian 32-bit integers in a binary."""
-        made = [ids if word else [self.library.piece_to_id(MARK)] for word, ids in zip(words, self.library.encode(words, num_threads=1), strict=True)]
+        made = self.library.encode(words, num_threads=1)
+        for at, word in enumerate(words):
+            if not word:
+                made[at] = [self.library.piece_to_id(MARK)]
+            elif word[0] == "\n":
+                del made[at][0]  # the marker that the library puts before any text
         ends = np.cumsum([0, *map(len, made)], dtype=np.int64)
         ids = np.fromiter(itertools.chain.from_iterable(made), "<i4", int(ends[-1]))
         return pa.Array.from_buffers(pa.large_binary(), len(made), [None, pa.py_buffer(4 * ends), pa.py_buffer(ids)]).cast(pa.binary())
