@@ -61,6 +61,7 @@ class Chunks:
         from sentencepiece import sentencepiece_model_pb2
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=model)
+        self.width = "<u2" if self.library.get_piece_size() <= 1 << 16 else "<u4"
         spec = sentencepiece_model_pb2.ModelProto()
         spec.ParseFromString(self.library.serialized_model_proto())
         rules = spec.normalizer_spec
@@ -102,7 +103,7 @@ class Chunks:
         return pa.concat_arrays([plain, cut]).take(pa.array(places))
 
     def segment(self, words: list[str]) -> pa.Array:
-        """The ids of each word, as little-endian 32-bit integers in a binary."""
+        """The ids of each word, as little-endian integers of ``width`` in a binary."""
         made = self.library.encode(words, num_threads=1)
         for at, word in enumerate(words):
             if not word:
@@ -110,8 +111,8 @@ class Chunks:
             elif word[0] == "\n":
                 del made[at][0]  # the marker that the library puts before any text
         ends = np.cumsum([0, *map(len, made)], dtype=np.int64)
-        ids = np.fromiter(itertools.chain.from_iterable(made), "<i4", int(ends[-1]))
-        return pa.Array.from_buffers(pa.large_binary(), len(made), [None, pa.py_buffer(4 * ends), pa.py_buffer(ids)]).cast(pa.binary())
+        ids = np.fromiter(itertools.chain.from_iterable(made), self.width, int(ends[-1]))
+        return pa.Array.from_buffers(pa.large_binary(), len(made), [None, pa.py_buffer(ids.itemsize * ends), pa.py_buffer(ids)]).cast(pa.binary())
 
 
 def _grouped(batches, size: int = TEXT_BYTES):
@@ -189,12 +190,12 @@ def _unpacked(data: bytes) -> pa.Array:
     return _column(pa.ipc.open_stream(data).read_all(), pa.ipc.open_stream(data).schema.names[0])
 
 
-def _binary(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The 32-bit integers of all binaries one behind the other, and the number in each."""
+def _binary(array: pa.Array, width: str) -> tuple[np.ndarray, np.ndarray]:
+    """The integers of all binaries one behind the other, and the number in each."""
     array = array.cast(pa.large_binary())
     bounds = np.frombuffer(array.buffers()[1], np.int64)[array.offset : array.offset + len(array) + 1] if len(array) else np.zeros(1, np.int64)
     body = np.frombuffer(array.buffers()[2], np.uint8)[bounds[0] : bounds[-1]] if bounds[-1] > bounds[0] else np.zeros(0, np.uint8)
-    return np.frombuffer(body.tobytes(), "<i4"), np.diff(bounds) // 4
+    return np.frombuffer(body.tobytes(), width), np.diff(bounds) // np.dtype(width).itemsize
 
 
 def _numbered(docs: DataFrame, shared) -> DataFrame:
@@ -228,7 +229,7 @@ def _numbered(docs: DataFrame, shared) -> DataFrame:
 
 
 def _segmented(holes: DataFrame, model: str) -> DataFrame:
-    """(_row, _k, _ids) for (_word, _row, _k): the words of a partition come sorted, each is segmented once."""
+    """(_row, _k, _data) for (_word, _row, _k): the words of a partition come sorted, each is segmented once."""
 
     def run(batches):
         chunks = Chunks(model)
@@ -243,13 +244,13 @@ def _segmented(holes: DataFrame, model: str) -> DataFrame:
             if met:
                 made = pa.concat_arrays([last_ids, made])
             last, last_ids = words[-1], made[len(made) - 1 :]
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), made.take(coded.indices)], names=["_row", "_k", "_ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), made.take(coded.indices)], names=["_row", "_k", "_data"])
 
     dealt = holes.repartition("_word").sortWithinPartitions("_word")
-    return dealt.select("_word", "_row", "_k").mapInArrow(run, "_row long, _k int, _ids binary")
+    return dealt.select("_word", "_row", "_k").mapInArrow(run, "_row long, _k int, _data binary")
 
 
-def _joined(rows: DataFrame, shared, id_col: str) -> DataFrame:
+def _joined(rows: DataFrame, shared, width: str, id_col: str) -> DataFrame:
     """(id, ids) of documents, each followed by the ids of its holes in their order."""
     id_field = rows.schema["_id"]
     schema = T.StructType([T.StructField(id_col, id_field.dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
@@ -259,14 +260,14 @@ def _joined(rows: DataFrame, shared, id_col: str) -> DataFrame:
         import zstandard
 
         unpacker = zstandard.ZstdDecompressor()
-        pool, many = _binary(_unpacked(shared.value))
+        pool, many = _binary(_unpacked(shared.value), width)
         first = np.cumsum(many) - many
 
         def whole(table: pa.Table) -> pa.RecordBatch:
             docs = pc.less(table.column("_k"), 0)
             mine = table.filter(docs).combine_chunks()
-            extra, sizes = _binary(_column(table.filter(pc.invert(docs)).combine_chunks(), "_ids"))
-            parts = [np.frombuffer(unpacker.decompress(x), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel() for x in _column(mine, "_numbers").to_pylist()]
+            extra, sizes = _binary(_column(table.filter(pc.invert(docs)).combine_chunks(), "_data"), width)
+            parts = [np.frombuffer(unpacker.decompress(x), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel() for x in _column(mine, "_data").to_pylist()]
             numbers = np.concatenate([np.zeros(0, np.int64), *parts]).astype(np.int64)
             holes = np.flatnonzero(numbers == len(many))
             if len(holes) != len(sizes):
@@ -301,7 +302,8 @@ def _joined(rows: DataFrame, shared, id_col: str) -> DataFrame:
 def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", head_bytes: int = HEAD_BYTES) -> DataFrame:
     """(id, ids array<int>) of every row, without begin or end ids."""
     spark = docs.sparkSession
-    if not Chunks(model).separable:
+    chunks = Chunks(model)
+    if not chunks.separable:
         return _by_library(docs, model, id_col, text_col)
     small_batches(spark)
     docs = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
@@ -310,10 +312,10 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
     shared_words, shared_ids = (spark.sparkContext.broadcast(_packed(x, "x")) for x in (words, ids))  # bounded by head_bytes
     stored = scratch.store(_numbered(docs, shared_words), "numbered")
     filled = _segmented(stored.select("_row", F.posexplode("_tail").alias("_k", "_word")), model)
-    texts_ = stored.select("_row", F.lit(-1).alias("_k"), "_id", "_numbers", F.lit(None).cast("binary").alias("_ids"))
+    texts_ = stored.select("_row", F.lit(-1).alias("_k"), "_id", F.col("_numbers").alias("_data"))
     rows = texts_.unionByName(filled, allowMissingColumns=True)
     dealt = rows.repartition("_row").sortWithinPartitions("_row", "_k")
-    return _joined(dealt, shared_ids, id_col)
+    return _joined(dealt, shared_ids, chunks.width, id_col)
 
 
 def _by_library(docs: DataFrame, model: str, id_col: str, text_col: str) -> DataFrame:
