@@ -43,7 +43,7 @@ MARK = "▁"
 #: Bytes of the head: those of its words and WORD_BYTES for each.
 HEAD_BYTES, WORD_BYTES = 24 << 20, 40
 #: Occurrences in a block of words from which a word may be in the head.
-OFTEN = 4
+OFTEN = 2
 #: Bytes of texts that are cut at once, and distinct words that are counted together.
 TEXT_BYTES, BLOCK_WORDS = 8 << 20, 600_000
 #: Rows of holes and documents that are put together at once.
