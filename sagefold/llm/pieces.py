@@ -45,9 +45,9 @@ HEAD_BYTES, WORD_BYTES = 24 << 20, 40
 #: Occurrences in a block of words from which a word may be in the head.
 OFTEN = 2
 #: Bytes of texts that are cut at once, and distinct words that are counted together.
-TEXT_BYTES, BLOCK_WORDS = 8 << 20, 600_000
-#: Rows of holes and documents that are put together at once.
-JOINED_ROWS = 50_000
+TEXT_BYTES, BLOCK_WORDS = 2 << 20, 400_000
+#: Rows of holes and documents, and their bytes, that are put together at once.
+JOINED_ROWS, JOINED_BYTES = 20_000, 1 << 20
 
 
 class Chunks:
@@ -286,7 +286,7 @@ def _joined(rows: DataFrame, shared, width: str, id_col: str) -> DataFrame:
         for batch in batches:
             held.append(batch)
             n += len(batch)
-            if n >= JOINED_ROWS or sum(x.nbytes for x in held) >= TEXT_BYTES:
+            if n >= JOINED_ROWS or sum(x.nbytes for x in held) >= JOINED_BYTES:
                 table = pa.Table.from_batches(held)
                 starts = np.flatnonzero(table.column("_k").to_numpy() < 0)
                 if starts[-1] > 0:  # the last document's holes may go on
