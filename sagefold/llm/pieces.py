@@ -6,11 +6,16 @@ word segmented once and its ids joined back by position.  Distinct words grow wi
 two parts:
 
 * the head, words that are frequent somewhere, as many as ``HEAD_BYTES`` allow: a
-  broadcast of bounded size.  Texts become numbers of head words, with holes;
-* the tail, all other words: each hole goes to the task of its word, where a word
-  is segmented once for all its holes, and the ids go to the hole's document.  No
-  word of the tail has ``OFTEN`` occurrences in any block of words, unless the head
-  is full of more frequent ones.
+  broadcast of bounded size;
+* the tail, all other words: each block of texts sends every one of its own once
+  to the task of the word's part, where a word is segmented once for all blocks,
+  and the ids go back to the block.  No word of the tail has ``OFTEN`` occurrences
+  in any block of words, unless the head is full of more frequent ones.
+
+Blocks travel as numbers of words.  Two passes cut the texts, one to ask for words
+and one to send the numbers, which takes time but no disk; both check that they saw
+the same words.  Input that is not plainly that of files is stored first, so that
+its rows keep their order.
 
 Which words are in the head changes time, never an id.  Where a model lacks these
 properties (normalisation, pieces across markers), whole texts go to the library.
@@ -27,6 +32,7 @@ from __future__ import annotations
 import itertools
 import math
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +52,6 @@ HEAD_BYTES, WORD_BYTES = 24 << 20, 40
 OFTEN = 2
 #: Bytes of texts that are cut at once, and distinct words that are counted together.
 TEXT_BYTES, BLOCK_WORDS = 2 << 20, 400_000
-#: Rows of holes and documents, and their bytes, that are put together at once.
-JOINED_ROWS, JOINED_BYTES = 20_000, 1 << 20
 
 
 class Chunks:
@@ -198,105 +202,152 @@ def _binary(array: pa.Array, width: str) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(body.tobytes(), width), np.diff(bounds) // np.dtype(width).itemsize
 
 
-def _numbered(docs: DataFrame, shared) -> DataFrame:
-    """(_row, _id, _numbers, _tail): the number of each word in the head, a hole's being the head's size, and the words of the holes."""
-    id_type = docs.schema["_id"].dataType
-    schema = T.StructType([T.StructField("_row", T.LongType()), T.StructField("_id", id_type), T.StructField("_numbers", T.BinaryType()), T.StructField("_tail", T.ArrayType(T.StringType()))])
-    names = schema.names
+class Block:
+    """The words of a block of texts as numbers: those of the head, then the block's other words by their part.
 
-    def run(batches):
-        import zstandard
+    What a block is made of depends on its texts, the head and the number of parts
+    only, so that two passes over the same rows give the same blocks.
+    """
+
+    def __init__(self, table: pa.Table, head: dict[str, int], parts: int):
+        lists = Chunks.of_all(_column(table, "_text"))
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        numbers = np.fromiter((head.get(x, -1) for x in words), np.int64, len(words))
+        rest = np.flatnonzero(numbers < 0)
+        part = np.fromiter((zlib.crc32(words[i].encode()) % parts for i in rest.tolist()), np.int64, len(rest))
+        order = np.argsort(part, kind="stable")
+        numbers[rest[order]] = len(head) + np.arange(len(rest))
+        self.parts, firsts = np.unique(part[order], return_index=True)
+        bounds = [*firsts.tolist(), len(rest)]
+        words_ = [words[i] for i in rest[order].tolist()]
+        #: For each part with words, these; no word holds a blank.
+        self.tails = [" ".join(words_[a:b]).encode() for a, b in itertools.pairwise(bounds)]
+        self.check = zlib.crc32(b"  ".join(self.tails))
+        self.numbers = numbers[coded.indices.to_numpy()].astype("<u4")
+        self.sizes = pc.list_value_length(lists).to_numpy().astype(np.int32)
+
+
+def _blocks(docs: DataFrame, shared, parts: int, schema: T.StructType, row) -> DataFrame:
+    """What ``row`` makes of each block: (number of the block, its rows, itself), as a batch."""
 
-        packer = zstandard.ZstdCompressor(3)
-        head = _unpacked(shared.value)
-        at = TaskContext.get().partitionId() << 40
+    def run(batches):
+        head = {x: i for i, x in enumerate(_unpacked(shared.value).to_pylist())}
+        at = TaskContext.get().partitionId() << 32
         for table in _grouped(batches):
-            lists = Chunks.of_all(_column(table, "_text"))
-            words = lists.flatten()
-            found = pc.index_in(words, value_set=head)
-            holes = found.is_null().to_numpy(zero_copy_only=False)
-            numbers = found.fill_null(len(head)).to_numpy().astype("<u4")
-            ends = np.cumsum(np.concatenate([[0], pc.list_value_length(lists).to_numpy()]), dtype=np.int64)
-            of = np.concatenate([[0], np.cumsum(holes)])[ends].astype("i4")
-            # bytes of one significance stand together: they pack better
-            blobs = [packer.compress(numbers[a:b].view(np.uint8).reshape(-1, 4).T.tobytes()) for a, b in itertools.pairwise(ends.tolist())]
-            tail = pa.ListArray.from_arrays(pa.array(of), words.filter(pa.array(holes)).cast(pa.string()))
-            rows = pa.array(at + np.arange(len(blobs), dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([rows, _column(table, "_id"), pa.array(blobs, pa.binary()), tail], names=names)
-            at += len(blobs)
+            yield row(at, table, Block(table, head, parts))
+            at += 1
 
     return docs.mapInArrow(run, schema)
 
 
-def _segmented(holes: DataFrame, model: str) -> DataFrame:
-    """(_row, _k, _data) for (_word, _row, _k): the words of a partition come sorted, each is segmented once."""
+def _asked(docs: DataFrame, shared, parts: int) -> DataFrame:
+    """(_k, _block, _check, _data): the words of a block that are not in the head, packed by the part that segments them."""
+
+    def row(at: int, table: pa.Table, block: Block) -> pa.RecordBatch:
+        import zstandard
+
+        packer = zstandard.ZstdCompressor(6)
+        n = len(block.tails)
+        data = [packer.compress(x) for x in block.tails]
+        return pa.RecordBatch.from_arrays([pa.array(block.parts, pa.int32()), pa.array([at] * n, pa.int64()), pa.array([block.check] * n, pa.int64()), pa.array(data, pa.binary())], names=["_k", "_block", "_check", "_data"])
+
+    return _blocks(docs, shared, parts, "_k int, _block long, _check long, _data binary", row)
+
+
+def _answered(asked: DataFrame, model: str, parts: int) -> DataFrame:
+    """``asked`` with the ids of the words in place of the words; a part meets all its words in one task, which segments each once."""
 
     def run(batches):
+        import zstandard
+
         chunks = Chunks(model)
-        last, last_ids = None, None
+        packer, unpacker = zstandard.ZstdCompressor(6), zstandard.ZstdDecompressor()
+        known: dict[str, bytes] = {}
         for batch in batches:
-            coded = batch.column(0).dictionary_encode()
-            words = coded.dictionary.to_pylist()
-            if not words:
-                continue
-            met = words[0] == last
-            made = chunks.segment(words[met:])
-            if met:
-                made = pa.concat_arrays([last_ids, made])
-            last, last_ids = words[-1], made[len(made) - 1 :]
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), made.take(coded.indices)], names=["_row", "_k", "_data"])
-
-    dealt = holes.repartition("_word").sortWithinPartitions("_word")
-    return dealt.select("_word", "_row", "_k").mapInArrow(run, "_row long, _k int, _data binary")
-
-
-def _joined(rows: DataFrame, shared, width: str, id_col: str) -> DataFrame:
-    """(id, ids) of documents, each followed by the ids of its holes in their order."""
-    id_field = rows.schema["_id"]
-    schema = T.StructType([T.StructField(id_col, id_field.dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+            lists = [unpacker.decompress(x).decode().split(" ") for x in batch.column(3).to_pylist()]
+            new = [x for x in dict.fromkeys(itertools.chain.from_iterable(lists)) if x not in known]
+            known.update(zip(new, chunks.segment(new).to_pylist(), strict=True))
+            data = []
+            for words in lists:
+                made = [known[x] for x in words]
+                sizes = np.fromiter(map(len, made), "<u4", len(made))
+                data.append(packer.compress(sizes.view(np.uint8).reshape(-1, 4).T.tobytes() + b"".join(made)) + len(made).to_bytes(4, "little"))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(data, pa.binary())], names=batch.schema.names)
+
+    return asked.repartitionById(parts, F.col("_k")).mapInArrow(run, asked.schema)
+
+
+def _joined(docs: DataFrame, answers: DataFrame, shared_words, shared_ids, parts: int, width: str, id_col: str) -> DataFrame:
+    """(id, ids) of documents: blocks meet the answers to what they asked."""
+    id_field = docs.schema["_id"]
     id_type = to_arrow_type(id_field.dataType)
+    sent = T.StructType([*answers.schema.fields, T.StructField("_ids", T.ArrayType(id_field.dataType)), T.StructField("_sizes", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([T.StructField(id_col, id_field.dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+
+    def row(at: int, table: pa.Table, block: Block) -> pa.RecordBatch:
+        import zstandard
+
+        # bytes of one significance stand together: they pack better
+        data = zstandard.ZstdCompressor(6).compress(block.numbers.view(np.uint8).reshape(-1, 4).T.tobytes())
+        one = [0, len(table)]
+        ids = pa.ListArray.from_arrays(pa.array(one, pa.int32()), _column(table, "_id"))
+        sizes = pa.ListArray.from_arrays(pa.array(one, pa.int32()), pa.array(block.sizes))
+        return pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([at]), pa.array([block.check], pa.int64()), pa.array([data], pa.binary()), ids, sizes], names=sent.names)
 
     def run(batches):
         import zstandard
 
         unpacker = zstandard.ZstdDecompressor()
-        pool, many = _binary(_unpacked(shared.value), width)
+        pool, many = _binary(_unpacked(shared_ids.value), width)
         first = np.cumsum(many) - many
-
-        def whole(table: pa.Table) -> pa.RecordBatch:
-            docs = pc.less(table.column("_k"), 0)
-            mine = table.filter(docs).combine_chunks()
-            extra, sizes = _binary(_column(table.filter(pc.invert(docs)).combine_chunks(), "_data"), width)
-            parts = [np.frombuffer(unpacker.decompress(x), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel() for x in _column(mine, "_data").to_pylist()]
-            numbers = np.concatenate([np.zeros(0, np.int64), *parts]).astype(np.int64)
-            holes = np.flatnonzero(numbers == len(many))
-            if len(holes) != len(sizes):
-                raise ValueError(f"{len(sizes)} words came back for {len(holes)} holes")
-            numbers[holes] += np.arange(len(holes))
+        item = np.dtype(width).itemsize
+
+        def whole(block: dict, answers: list[bytes]) -> pa.RecordBatch:
+            extra, sizes = [np.zeros(0, width)], [np.zeros(0, np.int64)]
+            for answer in answers:
+                n = int.from_bytes(answer[-4:], "little")
+                data = unpacker.decompress(answer[:-4])
+                sizes.append(np.frombuffer(data[: 4 * n], np.uint8).reshape(4, n).T.copy().view("<u4").ravel().astype(np.int64) // item)
+                extra.append(np.frombuffer(data[4 * n :], width))
+            extra, sizes = np.concatenate(extra), np.concatenate(sizes)
+            numbers = np.frombuffer(unpacker.decompress(block["_data"]), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
+            if max(int(numbers.max(initial=-1)) + 1, len(many)) != len(many) + len(sizes):
+                raise ValueError(f"a block lacks words of its own among {len(sizes)} that came back")
             length = np.concatenate([many, sizes])[numbers]
             begin = np.concatenate([first, len(pool) + np.cumsum(sizes) - sizes])[numbers]
             stops = np.cumsum(length)
             place = np.repeat(begin - stops + length, length) + np.arange(stops[-1] if len(stops) else 0)
             ids = np.concatenate([pool, extra])[place].astype(np.int32)
-            ends = np.concatenate([[0], stops])[np.cumsum([0, *map(len, parts)])].astype("i4")
-            found = _column(mine, "_id").cast(id_type)
-            return pa.RecordBatch.from_arrays([found, pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], names=schema.names)
+            ends = np.concatenate([[0], stops])[np.concatenate([[0], np.cumsum(block["_sizes"], dtype=np.int64)])].astype("i4")
+            return pa.RecordBatch.from_arrays([block["_ids"].cast(id_type), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], names=schema.names)
 
-        held, n = [], 0
+        key, block, answers = None, None, []
         for batch in batches:
-            held.append(batch)
-            n += len(batch)
-            if n >= JOINED_ROWS or sum(x.nbytes for x in held) >= JOINED_BYTES:
-                table = pa.Table.from_batches(held)
-                starts = np.flatnonzero(table.column("_k").to_numpy() < 0)
-                if starts[-1] > 0:  # the last document's holes may go on
-                    yield whole(table.slice(0, starts[-1]))
-                    table = table.slice(starts[-1])
-                held, n = table.to_batches(), len(table) if starts[-1] > 0 else 0
-        if held:
-            yield whole(pa.Table.from_batches(held))
-
-    return rows.mapInArrow(run, schema)
+            ks, blocks, checks, data, ids, sizes = batch.columns
+            for i, (k, *mine) in enumerate(zip(ks.to_pylist(), blocks.to_pylist(), checks.to_pylist(), strict=True)):
+                if k >= 0:
+                    if mine != key:
+                        raise ValueError("words came back for a block that is not there: the input's rows changed between two passes")
+                    answers.append(data[i].as_py())
+                    continue
+                if block:
+                    yield whole(block, answers)
+                key, answers = mine, []
+                block = {"_data": data[i].as_py(), "_ids": ids[i].values, "_sizes": sizes[i].values.to_numpy()}
+        if block:
+            yield whole(block, answers)
+
+    asking = _blocks(docs, shared_words, parts, sent, row)  # the union's first, so that its partitions keep their numbers
+    rows = asking.unionByName(answers, allowMissingColumns=True)
+    return rows.repartition("_block").sortWithinPartitions("_block", "_check", "_k").mapInArrow(run, schema)
+
+
+def _repeatable(docs: DataFrame) -> bool:
+    """Whether the rows are those of files, with columns chosen and rows filtered: they come in the same order each time."""
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    nodes = {line.lstrip(" :+-").split(" ")[0] for line in plan.toString().splitlines()}
+    return plan.deterministic() and nodes <= {"Project", "Filter", "Relation"}
 
 
 def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", head_bytes: int = HEAD_BYTES) -> DataFrame:
@@ -308,14 +359,14 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
     small_batches(spark)
     docs = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
     scratch = Scratch(spark, "pieces")
+    if not _repeatable(docs):
+        docs = scratch.store(docs, "texts")
     words, ids = _head(docs, model, scratch, head_bytes)
     shared_words, shared_ids = (spark.sparkContext.broadcast(_packed(x, "x")) for x in (words, ids))  # bounded by head_bytes
-    stored = scratch.store(_numbered(docs, shared_words), "numbered")
-    filled = _segmented(stored.select("_row", F.posexplode("_tail").alias("_k", "_word")), model)
-    texts_ = stored.select("_row", F.lit(-1).alias("_k"), "_id", F.col("_numbers").alias("_data"))
-    rows = texts_.unionByName(filled, allowMissingColumns=True)
-    dealt = rows.repartition("_row").sortWithinPartitions("_row", "_k")
-    return _joined(dealt, shared_ids, chunks.width, id_col)
+    # a part has as many words as a partition of the input, so that a task can know all of its own
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs._jdf.queryExecution().toRdd().getNumPartitions())
+    answers = _answered(_asked(docs, shared_words, parts), model, parts)
+    return _joined(docs, answers, shared_words, shared_ids, parts, chunks.width, id_col)
 
 
 def _by_library(docs: DataFrame, model: str, id_col: str, text_col: str) -> DataFrame:
