@@ -9,9 +9,10 @@ entity's information content (as in C-sanitised documents):
 
 with counts of documents over the whole corpus, in which copies count once: rows
 with entities by classes of near copies, others by their texts.  A term counts as
-evidence if it stands near the entity in ``support`` or more such documents whose
-texts farther away differ.  A term whose PMI / IC reaches ``generalise`` is replaced by its class, from
-``remove`` on it is removed, wherever it stands.
+evidence if it stands within REACH characters of the entity in ``support`` or more
+such documents, in as many different passages.  A term whose PMI / IC reaches
+``generalise`` is replaced by its class, from ``remove`` on it is removed, wherever
+it stands.
 
 Near copies have equal pairs of minima of hash functions over their shingles, and
 half of all minima in common; chains of them are one class.
@@ -45,9 +46,9 @@ KINDS = ["email", "ip", "card", "phone", "term"]
 LABELS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>"}
 #: Characters on each side of an entity in which terms are near it.
 REACH = 60
-#: Characters beyond those in which documents with a common passage are alike.
+#: Characters beyond those in which documents with a common passage are alike too.
 FAR = 100
-#: The share of common words from which surroundings are one passage.
+#: The share of common words over which surroundings are one passage.
 ALIKE = 0.5
 #: Words of a shingle, and minima of a row's sketch, two of which are a key under which near copies meet.
 SHINGLE, MINIMA = 3, 16
@@ -93,42 +94,65 @@ def classes(spans: DataFrame) -> DataFrame:
 
 
 def contexts(text: Column, spans: Column) -> Column:
-    """array<struct<c, before, after, far>>: each entity, what stands REACH characters around it, and what stands FAR beyond that."""
+    """array<struct<c, before, after>>: each entity and what stands REACH and FAR characters around it."""
     entity = lambda x: F.sha2(F.concat_ws(":", x["kind"], F.lower(x["m"])), 256)
 
     def around(b: Column) -> Column:
         def one(x: Column) -> Column:
-            left, right = F.greatest(F.lit(0), x["s"] - REACH), F.least(b["n"], x["e"] + REACH)
-            far = F.concat(piece(b["blocks"], F.greatest(F.lit(0), left - FAR), left), F.lit(" "), piece(b["blocks"], right, F.least(b["n"], right + FAR)))
-            return F.struct(entity(x).alias("c"), piece(b["blocks"], left, x["s"]).alias("before"), piece(b["blocks"], x["e"], right).alias("after"), far.alias("far"))
+            left, right = F.greatest(F.lit(0), x["s"] - REACH - FAR), F.least(b["n"], x["e"] + REACH + FAR)
+            return F.struct(entity(x).alias("c"), piece(b["blocks"], left, x["s"]).alias("before"), piece(b["blocks"], x["e"], right).alias("after"))
 
         return F.transform(b["spans"], one)
 
     return bound(F.struct(spans.alias("spans"), blocks_of(text).alias("blocks"), F.length(text).alias("n")), around)
 
 
+def _shingles(words: Column) -> Column:
+    """Hashes of the runs of SHINGLE words; of all words if they are fewer."""
+    n = F.greatest(F.lit(1), F.size(words) - SHINGLE + 1)
+    return F.when(F.size(words) > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.lit(SHINGLE)), " ")))).otherwise(F.array().cast("array<bigint>"))
+
+
+def passages(mentions: DataFrame) -> DataFrame:
+    """(node, root): mentions that stand in a passage with others, and that passage.
+
+    ``mentions``: (m, c, before, after), m once.  Two mentions of an entity stand in
+    one passage if more than ALIKE of the words around both are common ones; chains
+    of such pairs are one.  Each mention is held against all that are the first to
+    hold one of its words or shingles, so that pairs grow with the mentions.
+    """
+    sides = [F.filter(_terms(F.col(x)), lambda w: w != "") for x in ("before", "after")]
+    words = F.array_distinct(F.transform(F.concat(*sides), lambda w: F.hash(w)))
+    of = materialise(mentions.select("m", "c", words.alias("w"), F.concat(*map(_shingles, sides)).alias("shingles")), "surroundings")
+    keyed = of.select("c", "m", F.explode(F.array_distinct(F.concat("shingles", F.col("w").cast("array<bigint>")))).alias("key"))
+    first = keyed.groupBy("c", "key").agg(F.min("m").alias("o"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("c", "key", "o")
+    pairs = materialise(keyed.join(first, ["c", "key"]).filter("m <> o").select("m", "o").distinct(), "pairs")
+    both = pairs.join(of.select("m", "w"), "m").join(of.select(F.col("m").alias("o"), F.col("w").alias("w_o")), "o")
+    alike = 2 * F.size(F.array_intersect("w", "w_o")) > ALIKE * (F.size("w") + F.size("w_o"))
+    return components(both.filter(alike).select(F.col("m").alias("a"), F.col("o").alias("b")))
+
+
 def evidence(found: DataFrame, support: int) -> DataFrame:
     """(c, t, n_ct): terms near entities in enough documents.
 
     ``found``: (row, copy, _text, base); ``copy`` is the class of near copies.
-    Documents that share a passage are no copies of each other, and what stands in
-    that passage is there once: an entity counts if no word farther away stands
-    there in more than half of its documents (of two, in both), and if such common
-    words are no more than ALIKE of all around it.  Only what stands
-    around entities is multiplied by their number, not the text.
+    Every whole term within REACH characters of an entity counts, and n_ct is the
+    number of all documents in which it does.  Documents that share a passage are no
+    copies of each other, but what stands in that passage is evidence once: a pair
+    needs ``support`` documents and as many passages, where a mention of its own is
+    one.  Only what stands around entities is multiplied by their number, not the text.
     """
     near = found.filter(F.size("base") > 0).select("copy", F.explode(contexts(F.col("_text"), F.col("base"))).alias("x")).select("copy", "x.*")
     many = near.groupBy("c").agg(F.count_distinct("copy").alias("n")).filter(F.col("n") >= support)
-    near = materialise(near.join(many, "c"), "mentions")
-    marked = lambda words, far: F.transform(words, lambda w: F.struct(w.alias("f"), F.lit(far).alias("far")))
-    words = near.select("c", "n", "copy", F.explode(F.concat(marked(F.concat(_terms(F.col("before")), _terms(F.col("after"))), False), marked(_terms(F.col("far")), True))).alias("w"))
-    counted = words.select("c", "n", "copy", "w.*").filter("f <> ''").distinct().groupBy("c", "n", "f", "far").agg(F.count(F.lit(1)).alias("m"))
-    common = 2 * F.col("m") > F.greatest(F.lit(2), F.col("n"))
-    alike = counted.groupBy("c").agg((F.sum(F.when(common, F.col("m")).otherwise(0)) / F.sum("m")).alias("share"), F.bool_or(common & F.col("far") & (F.length("f") >= 4)).alias("far"))
-    near = near.join(alike.filter(F.col("far") | (F.col("share") > ALIKE)), "c", "left_anti").select("copy", "c", F.explode(F.array(_terms(F.col("before")), _terms(F.col("after")))).alias("w"))
-    placed = near.select("copy", "c", "w", F.posexplode("w").alias("i", "t")).filter((F.length("t") >= 3) & (F.col("i") > 0) & (F.col("i") < F.size("w") - 1))
-    by = placed.select("c", "t", "copy").distinct().groupBy("c", "t").agg(F.count(F.lit(1)).alias("n_ct"))
-    return by.filter(F.col("n_ct") >= support).select("c", "t", "n_ct")
+    near = near.join(many.select("c"), "c").withColumn("m", F.xxhash64("c", "before", "after")).dropDuplicates(["m", "copy"])
+    near = materialise(near, "mentions")
+    root = passages(near.dropDuplicates(["m"]))
+    # a blank stands for the text's ends, one more character tells whether a term is whole
+    sides = F.array(_terms(F.right(F.concat(F.lit(" "), "before"), F.lit(REACH + 1))), _terms(F.left(F.concat("after", F.lit(" ")), F.lit(REACH + 1))))
+    whole = F.flatten(F.transform(sides, lambda w: F.slice(w, F.lit(2), F.greatest(F.lit(0), F.size(w) - 2))))
+    placed = near.select("c", "copy", "m", F.explode(F.array_distinct(whole)).alias("t")).join(root, F.col("m") == F.col("node"), "left")
+    by = placed.groupBy("c", "t").agg(F.count_distinct("copy").alias("n_ct"), F.count_distinct(F.coalesce("root", "m")).alias("passages"))
+    return by.filter((F.col("n_ct") >= support) & (F.col("passages") >= support)).select("c", "t", "n_ct")
 
 
 def _sized(df: DataFrame) -> DataFrame:

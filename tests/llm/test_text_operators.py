@@ -1,3 +1,4 @@
+import hashlib
 import zlib
 
 import pytest
@@ -139,6 +140,63 @@ def test_terms_of_a_common_passage_disclose_nothing(spark):
     assert out[300] == [] and all([s["kind"] for s in out[k]] == ["email"] for k in range(9))
 
 
+def test_evidence_is_whole(spark):
+    """Every whole term near every entity counts, by hand; common words farther away, a text's ends and short names change nothing."""
+    import random
+    import re
+    from collections import defaultdict
+
+    from .conftest import words
+
+    rng = random.Random(21)
+    common, names = "that with from they have this will your about which of to in it".split(), words(rng, 2000).split()
+    values = [f"user{k}@example.com" for k in range(30)]
+    texts = []
+    for _ in range(300):
+        prose = [rng.choice(common if rng.random() < 0.25 else names) for _ in range(rng.randint(0, 120))]
+        for _ in range(rng.randint(1, 3)):
+            prose.insert(rng.randint(0, len(prose)), rng.choice(values))
+        texts.append(" ".join(prose))
+    texts = sorted(set(texts))
+    want = defaultdict(set)
+    for k, text in enumerate(texts):
+        tokens = [(m.group(), m.start(), m.end()) for m in re.finditer(r"[^\W_]+", text)]
+        for m in re.finditer(r"\S+@\S+", text):
+            for t, b, e in tokens:
+                if m.start() - 60 <= b and e <= m.start() or m.end() <= b and e <= m.end() + 60:
+                    want[m.group(), t].add(k)
+    found = spark.createDataFrame(list(enumerate(texts)), "copy long, _text string").withColumn("base", pii.known(F.col("_text")))
+    keys = {hashlib.sha256(f"email:{v}".encode()).hexdigest(): v for v in values}
+    got = {(keys[r["c"]], r["t"]): r["n_ct"] for r in pii.evidence(found, 2).collect()}
+    brief = {k for k, text in enumerate(texts) if len(text.split()) < 20}
+    missing = {x: len(n) for x, n in want.items() if len(n - brief) >= 2 and got.get(x) != len(n)}
+    assert missing == {} and all(len(want[x]) == n for x, n in got.items()) and len(got) > 400
+
+
+def test_short_copies_with_edits_are_one_passage(spark):
+    """Two short texts with most of their words in common, moved about, are no two passages."""
+    pairs = ["loweind Undiciib dieenverzuie 1234 erge. lostraan bob@example.com", "loweind Und dieenverzuie sobe 1234 bob@example.com lostraan erge."]
+    found = spark.createDataFrame(list(enumerate(pairs)), "copy long, _text string").withColumn("base", pii.known(F.col("_text")))
+    assert pii.evidence(found, 2).collect() == []
+
+
+def test_terms_beside_a_common_passage_disclose(spark):
+    """A passage that documents share takes nothing from what stands by the same address elsewhere; names may open a text and be short."""
+    import random
+
+    from .conftest import words
+
+    rng = random.Random(15)
+    passage = f"{words(rng, 40)} rare Grumbold writes from grum@example.com every day {words(rng, 40)}"
+    rows = [(k, f"{words(rng, 90)} {passage} {words(rng, 90)}", None, None) for k in range(6)]
+    common = "that with from they have this will your about which of to in it".split()
+    prose = lambda n: " ".join(w if rng.random() < 0.6 else rng.choice(common) for w in words(rng, n).split())
+    rows += [(50 + k, f"Łu Tarquibble (grum@example.com) {prose(80)}", None, None) for k in range(2)]
+    rows += [(100 + k, prose(40), None, None) for k in range(200)] + [(400, "Grumbold with Tarquibble and Łu", None, None)]
+    out = {r["doc_id"]: r["clean"] for r in pii.scan(frame(spark, rows)).select("doc_id", pii.sanitise(F.col("_text"), F.col("spans")).alias("clean")).collect()}
+    assert out[400].startswith("Grumbold with ") and "Tarquibble" not in out[400] and "Łu" not in out[400] and "Tarquibble" not in out[50]
+
+
 def test_many_spans_in_one_text(spark):
     """200,000 addresses in one text: time is linear in them."""
     import time
