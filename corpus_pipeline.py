@@ -8,11 +8,13 @@ their own (they begin with an underscore).
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sagefold.llm import jaccard, mixing, pieces, pii, queries, toxicity
-from sagefold.llm.common import materialise
+from sagefold.llm.common import hand_back, materialise
 
 #: No SQL expresses the stages; tests hold them against brute force.
 ORACLE_SQL = None
@@ -51,12 +53,23 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return queries.pieces_digest(pieces.encode_documents(docs, model), model)
 
 
+def _tidy(stage):
+    """``stage``, before which the driver hands back what those before it have freed: one driver runs them all."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        hand_back(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("n-gram Jaccard join", drop_near_copies),
-    ("PII", hide_personal_data),
-    ("mixing sources", mix_sources),
-    ("SentencePiece", encode_pieces),
+    ("toxicity", _tidy(drop_toxic)),
+    ("n-gram Jaccard join", _tidy(drop_near_copies)),
+    ("PII", _tidy(hide_personal_data)),
+    ("mixing sources", _tidy(mix_sources)),
+    ("SentencePiece", _tidy(encode_pieces)),
 ]
 
 

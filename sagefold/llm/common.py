@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Sequence
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,6 +72,35 @@ class Scratch:
         place.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
+def local_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """Rows that the driver holds as a part of the plan: neither a job nor a Python worker makes them."""
+    fields = T.StructType.fromDDL(schema)
+    columns = [pa.array([r[k] for r in rows], to_arrow_type(f.dataType)) for k, f in enumerate(fields)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, names=fields.names), fields)
+
+
+def hand_back(spark: SparkSession) -> bool:
+    """Give the system what the driver has freed; whether its JVM could.
+
+    Arrow's pool keeps what Python frees, and the C library what the JVM frees
+    beside its heap (compiler, threads, buffers): in a driver that runs many plans
+    that is more than 200 MB.  JVMs without the command keep it.
+    """
+    pa.default_memory_pool().release_unused()
+    jvm = spark._jvm
+    try:
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        name = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        # the server's class is hidden: its interface has the method
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        arguments = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+        arguments[0], arguments[1] = name, "systemTrimNativeHeap"
+        invoke.invoke(server, arguments)
+    except Py4JError:
+        return False
+    return True
+
+
 def small_batches(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> None:
     """Give executors this package and keep Arrow batches small, so that a Python worker's memory is bounded with long texts."""
     ship(spark)

@@ -181,6 +181,25 @@ def test_repeats(spark, medium):
     assert abs(taken - sum(r["size"] for r in rows.values())) < 0.1 * taken
 
 
+def test_mix_asks_little_of_the_driver(spark, medium):
+    """Each broadcast, and each job's stages, take megabytes of the driver at once: sources are no jobs of Python rows, the last plan is a short one."""
+    docs = spark.read.parquet(f"{medium}/documents.parquet")
+    sources = mixing.plan(spark.createDataFrame([("a", 300), (None, 100)], "source string, size long"))
+    for df, most in ((sources, 0), (mixing.schedule(spark, sources), 1), (mixing.repeats(docs), 4), (mixing.mix(docs), 6)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "ExistingRDD" not in plan and plan.count("BroadcastExchange") <= most
+
+
+def test_mix_broadcasts_by_rows(spark, medium, monkeypatch):
+    """Tables beyond the number of rows are joined by a shuffle, with the same result."""
+    docs = spark.read.parquet(f"{medium}/documents.parquet")
+    want = sorted(map(str, mixing.mix(docs).collect()))
+    monkeypatch.setattr(mixing, "MOST_BROADCAST", 0)
+    out = mixing.mix(docs)
+    assert out._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") >= 2
+    assert sorted(map(str, out.collect())) == want
+
+
 def test_toxicity_held_out(spark, medium):
     out = {r["doc_id"]: r for r in queries.op10_toxicity(spark, medium).collect()}
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{medium}/labels.parquet").collect()}

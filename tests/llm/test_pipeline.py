@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from sagefold.llm import mixing, queries
-from sagefold.llm.common import materialise
+from sagefold.llm.common import hand_back, local_table, materialise
 
 from . import brute
 from .conftest import frame
@@ -73,3 +73,20 @@ def test_odd_and_empty_tables(spark, small, odd, empty):
             now = materialise(stage(spark, now, small), "odd-" + name.split()[0])
         assert now.count() >= (1 if docs is odd else 0)
     assert frame(spark, []).count() == 0
+
+
+def test_stages_begin_with_memory_handed_back(spark, small, monkeypatch):
+    assert hand_back(spark) in (True, False)  # JVMs without the command keep it
+    began = []
+    monkeypatch.setattr(P, "hand_back", lambda s: began.append(s))
+    for _, stage in P.STAGES:
+        stage(spark, queries.table(spark, small, "documents"), small)
+    assert began == [spark] * len(P.STAGES)
+
+
+def test_local_tables(spark):
+    rows = [("a", 1, None), (None, 2, 0.5)]
+    made = local_table(spark, rows, "s string, n long, x double")
+    assert [tuple(r) for r in made.collect()] == rows and made.dtypes == [("s", "string"), ("n", "bigint"), ("x", "double")]
+    assert "LocalTableScan" in made._jdf.queryExecution().executedPlan().toString()
+    assert local_table(spark, [], "s string").collect() == []
